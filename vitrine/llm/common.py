@@ -160,18 +160,29 @@ def word_spans(t: Texts, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
-def words(t: Texts, lower: bool = True, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    t: Texts, lower: bool = True, alnum: bool = False, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, start, end and document of every word, in order.
 
-    Words are runs of non-space bytes, or of letters, digits and non-ASCII bytes with alnum=True."""
+    Words are runs of non-space bytes, or of letters, digits and non-ASCII bytes with alnum=True. With `prefixes` the
+    first result is (words, 1 + prefixes): next to each word's hash those of its first bytes, 0 where it has no more."""
     a, b = word_spans(t, _WORD if alnum else ~_SPACE)
     doc = np.searchsorted(t.start, a, "right") - 1
     if not len(a):
-        return np.zeros(0, np.uint64), a, b, doc
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), a, b, doc
     data = LOWER[t.data] if lower else t.data
     n = len(data)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(_CODE[data] * _table("p", n)[:n], out=total[1:])
-    h = (total[b] - total[a]) * _table("q", n)[a]
-    return mix(h + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), a, b, doc
+    back = _table("q", n)[a]
+    h = mix((total[b] - total[a]) * back + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if prefixes:
+        cols = [h]
+        for k in prefixes:
+            long = b - a > k
+            part = mix((total[np.minimum(a + k, n)] - total[a]) * back + np.uint64(0xA0761D6478BD642F))
+            cols.append(np.where(long, part, np.uint64(0)))
+        h = np.stack(cols, 1)
+    return h, a, b, doc
