@@ -4,7 +4,7 @@ A line's tokens are its distinct words (A-Z lowered). Lines with equal token set
 in the order of (doc_id, text hash, line number). Classes link at Jaccard similarity of at least THRESHOLD:
 
 1. Token frequencies go into a table of fixed size (2**FREQUENCY_BITS hashed counters), which orders every line's tokens
-   by rarity (frequency, then hash): the same total order everywhere.
+   by rarity (class of frequency, then hash): the same total order everywhere.
 2. Prefix filter: of n tokens, the n - ceil(t n) + 1 rarest get a posting (token, class, n, position, parity bitmap);
    tokens that occur in one line only get none. Two classes that link share a prefix token.
 3. Within a token, pairs are tested by length, by position (the tokens left must allow the overlap) and by the parity
@@ -31,6 +31,9 @@ FREQUENCY_BITS = 20
 FILTER_BITS = 22
 #: Classes of a token that are verified in one block; larger groups are split into pairs of blocks.
 BLOCK = 1024
+#: Bits of a token's hash next to its rarity class.
+_HASH_BITS = 56
+_SHORT = np.uint64(((1 << _HASH_BITS) - 1) << (64 - _HASH_BITS))
 _FMASK = np.uint64((1 << FREQUENCY_BITS) - 1)
 _KMASK = np.uint64((1 << FILTER_BITS) - 1)
 
@@ -44,10 +47,12 @@ class Lines:
         number = np.searchsorted(breaks, a)  # line breaks before the word, over the chunk
         number = number - np.searchsorted(breaks, t.start[:-1])[doc]
         line = doc.astype(np.int64) << 32 | number
-        if frequency is None:
-            order = np.lexsort((h, line))
-        else:
-            order = np.lexsort((h, frequency[(h & _FMASK).astype(np.int64)], line))
+        if frequency is not None:  # a token is now its rarity class, then its hash: one number, the same everywhere
+            rarity = frequency[(h & _FMASK).astype(np.int64)].astype(np.uint64)
+            h = rarity << np.uint64(_HASH_BITS) | h >> np.uint64(64 - _HASH_BITS)
+        dense = np.cumsum(np.r_[False, line[1:] != line[:-1]]) if len(line) else line
+        order = np.argsort(h)
+        order = order[np.argsort(dense[order].astype(np.uint16 if len(dense) and dense[-1] < 1 << 16 else np.uint32), kind="stable")]
         h, line = h[order], line[order]
         first = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
         self.tokens, line = h[first], line[first]
@@ -55,9 +60,9 @@ class Lines:
         self.at = np.r_[begin, len(line)].astype(np.int64)
         self.doc, self.number = line[begin] >> 32, line[begin] & 0xFFFFFFFF
         self.n = np.diff(self.at)
-        # The class: two independent sums over the token set, mixed with its size.
+        # The class: the sum of the tokens' mixed hashes, mixed with their number.
         if len(begin):
-            self.key = mix(np.add.reduceat(mix(self.tokens + np.uint64(0x9E3779B97F4A7C15)), begin) + self.n.astype(np.uint64))
+            self.key = mix(np.add.reduceat(mix((self.tokens if frequency is None else self.tokens << np.uint64(64 - _HASH_BITS)) & _SHORT), begin) + self.n.astype(np.uint64))
         else:
             self.key = np.zeros(0, np.uint64)
 
@@ -66,25 +71,41 @@ def needed_overlap(n: np.ndarray, m: np.ndarray, t: float = THRESHOLD) -> np.nda
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
 
 
+def rarity_class(count: np.ndarray) -> np.ndarray:
+    """0 for a counter of at most one line, then growing with its logarithm, in steps of a sixteenth of an octave."""
+    return np.where(count > 1, np.minimum(1 + 6 * np.log2(np.maximum(count, 2)), 254), 0).astype(np.uint8)
+
+
+_TILE = 1 << 12
+
+
 def _frequencies(rows: DataFrame) -> np.ndarray:
-    """Lines that hold a token of each counter: over every line. A fixed number of counters reaches the driver."""
+    """Rarity class of each counter, from the lines that hold its tokens: over every line.
+
+    Tasks give their counters as tiles, which are summed by tile; a fixed number of counters reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for b in batches:
             for t in text_chunks(b.column(0)):
                 count += np.bincount((Lines(t).tokens & _FMASK).astype(np.int64), minlength=len(count))
-        k = np.flatnonzero(count)
-        for s in range(0, len(k), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(k[s : s + (1 << 16)]), pa.array(count[k[s : s + (1 << 16)]])], ["k", "n"])
+        tiles = np.minimum(count, (1 << 32) - 1).astype("<u4").reshape(-1, _TILE)
+        for s in range(0, len(tiles), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + 64)), pa.array([x.tobytes() for x in tiles[s : s + 64]], pa.binary())], ["k", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int64()), pa.array([rarity_class(x).tobytes() for x in total.values()], pa.binary())], ["k", "n"])
 
-    out = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    got = rows.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    block = got.groupBy(F.shiftright("k", 8).alias("b")).agg(F.collect_list(F.struct("k", "n")).alias("v"))
-    for r in block.toLocalIterator():
-        for x in r["v"]:
-            out[x["k"]] = x["n"]
-    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+    tiles = rows.select("text").mapInArrow(run, "k long, n binary").repartition("k").mapInArrow(add, "k long, n binary")
+    out = np.zeros((1 << FREQUENCY_BITS) // _TILE * _TILE, np.uint8).reshape(-1, _TILE)
+    for r in tiles.collect():
+        out[r["k"]] = np.frombuffer(r["n"], np.uint8)
+    return out.ravel()
 
 
 def _line_table(rows: DataFrame) -> DataFrame:
@@ -123,7 +144,7 @@ def _postings(rows: DataFrame, frequency, t: float) -> DataFrame:
                 line = np.repeat(one, size)
                 pos = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
                 token = x.tokens[x.at[line] + pos]
-                shared = table[(token & _FMASK).astype(np.int64)] > 1
+                shared = token >> np.uint64(_HASH_BITS) > 0
                 line, pos, token = line[shared], pos[shared], token[shared]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token.view(np.int64)), pa.array(x.n[line], pa.int32()), pa.array(x.key[line].view(np.int64)),
