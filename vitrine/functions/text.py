@@ -64,10 +64,11 @@ def query_terms(value: Column, cap: int = TERM_CAP) -> Column:
 def weighted_ngrams(value: Column) -> Column:
     """struct(phrase, weight): unigrams 1, bigrams 2, trigrams 3, over the distinct terms."""
     terms = query_terms(value)
-    parts = [
-        F.transform(F.array_distinct(ngrams(terms, n)), lambda p, w=w: F.struct(p.alias("phrase"), F.lit(w).alias("weight")))
-        for n, w in enumerate(NGRAM_WEIGHTS, 1)
-    ]
+
+    def weighed(n: int, weight: float) -> Column:  # a lambda with a default would be taken for one of (value, index)
+        return F.transform(F.array_distinct(ngrams(terms, n)), lambda p: F.struct(p.alias("phrase"), F.lit(weight).alias("weight")))
+
+    parts = [weighed(n, w) for n, w in enumerate(NGRAM_WEIGHTS, 1)]
     return reduce(lambda a, b: F.concat(a, b), parts)
 
 
