@@ -115,7 +115,7 @@ class Discriminant:
             m = sums[k][1] / n[k]
             cov[k] = (m, sums[k][2] / n[k] - np.outer(m, m))
         pooled = (n[0] * cov[0][1] + n[1] * cov[1][1]) / (n[0] + n[1])
-        self.scale = np.sqrt(np.maximum(np.diag(pooled), 0)) + 1e-6
+        self.scale = np.sqrt(np.maximum(np.diag(pooled), 0) + 1e-6)  # a constant statistic has no weight
         for k in (0, 1):
             m, c = cov[k]
             c = (1 - pool) * c + pool * pooled

@@ -83,6 +83,10 @@ def _analyse(tree) -> tuple[set[str], list[frozenset[str]]]:
         if part is not None and len(part) * len(strings) <= MAX_STRINGS:
             strings = {a + b for a in strings for b in part}
             continue
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:  # at least one of it comes right after the strings
+            once = _exact(arg[2])
+            if once is not None and len(once) * len(strings) <= MAX_STRINGS:
+                strings = {a + b for a in strings for b in once}
         query = _and(query, _of(strings))
         strings = {""}
         if part is not None:

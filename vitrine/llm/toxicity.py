@@ -7,7 +7,7 @@ maximal scoring segments of a text in linear time. A segment's score is calibrat
 text of n tokens, P(a chance segment reaches s) = 1 - exp(-K n exp(-lambda s)), with lambda from the score distribution
 of clean text and K from its segments; the text's score combines its significant segments.
 
-Uses of a token are counted once for each distinct cluster key (the least hash of a text's words), not for each copy: a
+Uses of a token are counted once for each distinct cluster key (the least two hashes of a text's words, by two functions), not for each copy: a
 group of copies is one witness, whatever its size.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, only, prepare, text_chunks, words
+from .common import cut, fold_of, mix, only, prepare, text_chunks, words
 
 FOLD, HELD = 3, 1
 THRESHOLD = 0.7
@@ -31,6 +31,7 @@ PRIOR, FLAT, Z, ODDS, WITNESSES = 500.0, 0.5, 3.3, 2.0, 3
 #: Tokens that the model holds at most, by z-score; fixes what is sent to the executors.
 MAX_TOKENS = 1 << 16
 COST = -0.35
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 ALPHA = 0.3
 
 
@@ -108,7 +109,7 @@ def _witness_counts(rows: DataFrame) -> DataFrame:
                     continue
                 begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                 least = np.zeros(t.n, np.uint64)
-                least[doc[begin]] = np.minimum.reduceat(h[:, 0], begin)
+                least[doc[begin]] = mix(np.minimum.reduceat(h[:, 0], begin) ^ mix(np.minimum.reduceat(mix(h[:, 0] * _SECOND), begin)))
                 h, doc = h.ravel(), np.repeat(doc, h.shape[1])
                 h, doc = h[h != 0], doc[h != 0]
                 order = np.lexsort((h, doc))
