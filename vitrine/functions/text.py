@@ -111,7 +111,8 @@ def rating(value: Column) -> Column:
 
 
 def normalized_rating(value: Column) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), rating(value) / 5), F.lit(0.5))
+    x = rating(value)
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), x / 5)).otherwise(0.5)  # least() passes over nulls
 
 
 def rating_weight(prior_rating: Column) -> Column:

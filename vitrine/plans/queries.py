@@ -36,7 +36,7 @@ def _rows(spark, schema: str, *rows):
 
 # ---- filters, joins, registry ----------------------------------------------------------------------------------
 
-_NORM = "coalesce(least(1.0, CASE WHEN rating > 0 THEN rating END / 5), 0.5)"
+_NORM = "(CASE WHEN rating > 0 THEN least(1.0, rating / 5) ELSE 0.5 END)"
 
 
 @query(f"WITH {PRODUCTS} SELECT asin, title, price, round(0.02 * {_NORM}, 6) AS score FROM products WHERE price >= 905 AND price <= 950 ORDER BY 0.02 * {_NORM} DESC, asin LIMIT 20")
