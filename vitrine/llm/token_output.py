@@ -39,7 +39,7 @@ ROUNDS = 5
 MAX_RULES = 16_000
 MIN_COUNT = 8
 #: Words whose ids a Python worker remembers; only speed depends on it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _MAGIC = b"RPB1"
 
 
