@@ -17,6 +17,7 @@ A line is removed if an earlier line has its class or a class that links to it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -292,6 +293,29 @@ def verify_group(token: int, tokens: list[np.ndarray], block: np.ndarray, order:
     return links, earlier
 
 
+#: Groups up to this size are compared as sets, pair by pair.
+SMALL = 8
+
+
+def verify_few(token: int, tokens: list[np.ndarray], block: list[int], order: np.ndarray, t: float = THRESHOLD):
+    """verify_group for a few classes, without matrices."""
+    rows = [x.tolist() for x in tokens]
+    full = [set(x) for x in rows]
+    prefix = [set(x[: len(x) - math.ceil(t * len(x) - 1e-9) + 1]) for x in rows]
+    links, earlier = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+    both = len(set(block)) > 1
+    for i in range(len(rows)):
+        for j in range(i):
+            n, m = len(rows[i]), len(rows[j])
+            if both and block[i] == block[j] or min(n, m) < t * max(n, m) - 1e-9:
+                continue
+            if len(full[i] & full[j]) >= math.ceil(t / (1 + t) * (n + m) - 1e-9) and min(prefix[i] & prefix[j]) == token:
+                links[i] += 1
+                links[j] += 1
+                earlier[i if order[j] < order[i] else j] = True
+    return links, earlier
+
+
 def _verified(groups: DataFrame, t: float) -> DataFrame:
     """(token, part, block, key, tokens, f1, f2, f3) -> (key, links, earlier), summed over tokens."""
 
@@ -302,7 +326,9 @@ def _verified(groups: DataFrame, t: float) -> DataFrame:
             sets = [np.frombuffer(r[4], np.uint64) for r in rows]
             order = np.empty(len(rows), np.int64)
             order[sorted(range(len(rows)), key=lambda k: tuple((x is None, x) for x in rows[k][5:8]))] = np.arange(len(rows))
-            links, earlier = verify_group(rows[0][0] % (1 << 64), sets, np.array([r[2] for r in rows]), order, t)
+            token, block = rows[0][0] % (1 << 64), [r[2] for r in rows]
+            few = len(rows) <= SMALL
+            links, earlier = verify_few(token, sets, block, order, t) if few else verify_group(token, sets, np.array(block), order, t)
             k = np.flatnonzero(links)
             return pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i in k], pa.int64()), pa.array(links[k]), pa.array(earlier[k])], ["key", "links", "earlier"])
 
