@@ -202,14 +202,12 @@ def _active(postings: DataFrame, t: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _whole_groups(batches, 6):
-            token, n, key, pos = cols[:4]
-            p0, p1 = cols[4].view(np.uint64), cols[5].view(np.uint64)
-            good = with_partner(token, n, key, pos, p0, p1, t)
+            fresh = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])]  # a class may come from many chunks
+            token, n, key, pos, p0, p1 = (x[fresh] for x in cols)
+            good = with_partner(token, n, key, pos, p0.view(np.uint64), p1.view(np.uint64), t)
             token, key = token[good], key[good]
             if not len(token):
                 continue
-            fresh = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
-            token, key = token[fresh], key[fresh]
             begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[begin, len(token)])
             blocks = np.repeat(-(-size // BLOCK), size)
