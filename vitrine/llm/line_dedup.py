@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, cut, mix, only, prepare, text_chunks, words
+from .common import Texts, cut, mix, only, prepare, scratch_path, text_chunks, words
 
 THRESHOLD = 0.8
 FREQUENCY_BITS = 20
@@ -80,19 +80,43 @@ def rarity_class(count: np.ndarray) -> np.ndarray:
 _TILE = 1 << 12
 
 
-def _frequencies(rows: DataFrame) -> np.ndarray:
-    """Rarity class of each counter, from the lines that hold its tokens: over every line.
+_SCAN = "doc_id long, th long, line int, key long, tile long, n binary"
+
 
-    Tasks give their counters as tiles, which are summed by tile; a fixed number of counters reaches the driver."""
+def _scan(rows: DataFrame) -> DataFrame:
+    """The one pass over the texts that needs no frequencies, as a table in the shared folder: for every non-blank line
+    (doc_id, th, line, key), its class, and from each task its counters of lines by token in tiles (tile, n)."""
+    spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("tile", pa.int64()), ("n", pa.binary())])
+
+        def out(size: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
         for b in batches:
-            for t in text_chunks(b.column(0)):
-                count += np.bincount((Lines(t).tokens & _FMASK).astype(np.int64), minlength=len(count))
+            for t in text_chunks(b.column(2)):
+                x = Lines(t)
+                count += np.bincount((x.tokens & _FMASK).astype(np.int64), minlength=len(count))
+                who = pa.array(t.first + x.doc)
+                yield out(
+                    len(who), doc_id=b.column(0).take(who), th=b.column(1).take(who),
+                    line=pa.array(x.number, pa.int32()), key=pa.array(x.key.view(np.int64)))
         tiles = np.minimum(count, (1 << 32) - 1).astype("<u4").reshape(-1, _TILE)
         for s in range(0, len(tiles), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + 64)), pa.array([x.tobytes() for x in tiles[s : s + 64]], pa.binary())], ["k", "n"])
+            some = tiles[s : s + 64]
+            yield out(len(some), tile=pa.array(np.arange(s, s + len(some))), n=pa.array([x.tobytes() for x in some], pa.binary()))
+
+    path = scratch_path(spark, "lines")
+    rows.select("doc_id", "th", "text").mapInArrow(run, _SCAN).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(_SCAN).parquet(path)
+
+
+def _frequencies(scan: DataFrame) -> np.ndarray:
+    """Rarity class of each counter, from the lines that hold its tokens: over every line.
+
+    The tasks' counters are summed by tile; a fixed number of counters reaches the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -102,28 +126,13 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int64()), pa.array([rarity_class(x).tobytes() for x in total.values()], pa.binary())], ["k", "n"])
 
-    tiles = rows.select("text").mapInArrow(run, "k long, n binary").repartition("k").mapInArrow(add, "k long, n binary")
+    tiles = scan.where("tile is not null").select("tile", "n").repartition("tile").mapInArrow(add, "k long, n binary")
     out = np.zeros((1 << FREQUENCY_BITS) // _TILE * _TILE, np.uint8).reshape(-1, _TILE)
     for r in tiles.collect():
         out[r["k"]] = np.frombuffer(r["n"], np.uint8)
     return out.ravel()
 
 
-def _line_table(rows: DataFrame) -> DataFrame:
-    """(doc_id, th, line, key): the class of every non-blank line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in text_chunks(b.column(2)):
-                x = Lines(t)
-                who = pa.array(t.first + x.doc)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(who), b.column(1).take(who), pa.array(x.number, pa.int32()), pa.array(x.key.view(np.int64))],
-                    ["doc_id", "th", "line", "key"])
-
-    return rows.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, line int, key long")
-
-
 def _parity(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bit = np.uint64(1) << ((tokens >> np.uint64(40)) & np.uint64(63))
     high = (tokens >> np.uint64(46)) & np.uint64(1) == 1
@@ -350,10 +359,11 @@ def class_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     """(lines, classes): lines (doc_id, th, line, key) and classes (key, first, links, earlier)."""
     spark = prepare(docs.sparkSession)
     rows = only(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    lines = _line_table(rows)
+    scan = _scan(rows)
+    lines = scan.where("tile is null").select("doc_id", "th", "line", "key")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line")
     classes = cut(lines.groupBy("key").agg(F.min(place).alias("first")))
-    frequency = spark.sparkContext.broadcast(_frequencies(rows))
+    frequency = spark.sparkContext.broadcast(_frequencies(scan))
     active = cut(_active(_postings(rows, frequency, threshold), threshold))
     bits = spark.sparkContext.broadcast(_key_filter(active.select("key")))
     members = active.join(classes.hint("shuffle_hash"), "key").select("token", "key", "part", "block", "first")
