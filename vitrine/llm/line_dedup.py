@@ -291,10 +291,13 @@ def verify_group(token: int, tokens: list[np.ndarray], block: np.ndarray, order:
         r = slice(s, min(s + 512, len(tokens)))
         overlap = full[r] @ full.T
         good = overlap >= needed_overlap(size[r, None], size[None, :], t)
-        good &= (early[r] @ early.T) == 0
         good &= np.arange(r.start, r.stop)[:, None] != np.arange(len(tokens))[None, :]
         if both:
             good &= block[r, None] != block[None, :]
+        near, to = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+        if not len(near):
+            continue
+        good[np.ix_(near, to)] &= (early[r][near] @ early[to].T) == 0
         links[r] += good.sum(1)
         earlier[r] |= (good & (order[None, :] < order[r, None])).any(1)
     return links, earlier
