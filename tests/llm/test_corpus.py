@@ -6,9 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vitrine.llm import components, decontaminate, langid, line_dedup, mixing, quality, secrets, simhash, token_output, topk, toxicity
+from vitrine.llm.common import mix, text_chunks, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text2 string, fp long, size string"
 WORDS = "the of and red blue green boats sail over water quickly while seven old foxes sleep under warm trees near rivers".split()
@@ -185,6 +187,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(docs, y).count() == docs.count() and toxicity.score_toxicity(empty, y).count() == 0
 
 
+def test_toxicity_witnesses(spark):
+    """Different texts that share the words of least hash are witnesses each; copies are one, for each label."""
+    many = [f"w{k}" for k in range(20_000)]
+    h = words(next(text_chunks(pa.array([" ".join(many)]))), alnum=True)[0]
+    least = f"{many[int(h.argmin())]} {many[int(mix(h * np.uint64(0x9E3779B97F4A7C15)).argmin())]}"
+    rng = random.Random(4)
+    rows = [(k, f"{prose(rng, 40)} {'grumpf blarg ' * (k % 5 == 0)}{least}", "en", "s") for k in range(400)]
+    y = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(corpus(spark, rows), y).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in got)
+    texts = spark.createDataFrame([(1, "One two"), (2, "one, TWO"), (3, "one two"), (3, "one two"), (4, "two one"), (5, ""), (6, None)], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 0), (5, 1), (6, 1)], "doc_id long, toxic int")
+    counts = [(r["n0"], r["n1"]) for r in toxicity._witness_counts(texts, y).collect()]
+    assert counts == [(2, 1), (2, 1)]
+
+
 def brute_segments(x):
     """All maximal scoring segments, by their recursive definition."""
     if not len(x) or max(x) <= 0:

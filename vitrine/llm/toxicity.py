@@ -7,8 +7,8 @@ maximal scoring segments of a text in linear time. A segment's score is calibrat
 text of n tokens, P(a chance segment reaches s) = 1 - exp(-K n exp(-lambda s)), with lambda from the score distribution
 of clean text and K from its segments; the text's score combines its significant segments.
 
-Uses of a token are counted once for each distinct cluster key (the least two hashes of a text's words, by two functions), not for each copy: a
-group of copies is one witness, whatever its size.
+Uses of a token are counted once for each distinct text (its whole sequence of words), not for each copy, and apart for
+clean and toxic labels: a text that has both labels is a witness of both.
 """
 
 from __future__ import annotations
@@ -97,32 +97,50 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
 
 
-def _witness_counts(rows: DataFrame) -> DataFrame:
-    """(text, toxic) -> (token, n0, n1): distinct cluster keys of clean and toxic texts that use each token, and totals (token -1)."""
+def sequence_hash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One hash of each text's whole word sequence, from the words' hashes and each text's first word."""
+    n = np.diff(np.r_[begin, len(h)])
+    at = np.arange(len(h), dtype=np.uint64) - np.repeat(begin, n).astype(np.uint64)
+    return mix(np.add.reduceat(mix(h ^ mix(at + _SECOND)), begin) + n.astype(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _witness_counts(docs: DataFrame, y: DataFrame) -> DataFrame:
+    """(doc_id, text) and (doc_id, toxic) -> (token, n0, n1): distinct clean and toxic texts that use each token.
+
+    Word sequences meet their labels as hashes; only one text of each sequence is dealt out."""
+
+    def texts(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for t in text_chunks(b.column(0)):
-                h, _, _, doc = words(t, alnum=True, prefixes=STEMS)
+            for t in text_chunks(b.column(1)):
+                h, _, _, doc = words(t, alnum=True)
                 if not len(h):
                     continue
                 begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                least = np.zeros(t.n, np.uint64)
-                least[doc[begin]] = mix(np.minimum.reduceat(h[:, 0], begin) ^ mix(np.minimum.reduceat(mix(h[:, 0] * _SECOND), begin)))
+                key, who = pa.array(sequence_hash(h, begin).view(np.int64)), pa.array(t.first + doc[begin])
+                yield pa.RecordBatch.from_arrays([key, b.column(int(whole)).take(who)], ["key", "text" if whole else "doc_id"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)]
+            for t in text_chunks(b.column(0)):
+                h, _, _, doc = words(t, alnum=True, prefixes=STEMS)
                 h, doc = h.ravel(), np.repeat(doc, h.shape[1])
                 h, doc = h[h != 0], doc[h != 0]
-                order = np.lexsort((h, doc))
+                if not len(h):
+                    continue
+                order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 first = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
                 h, doc = h[first], doc[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(least[doc].view(np.int64)), pa.array(label[t.first + doc], pa.int32())],
-                    ["token", "key", "toxic"])
+                begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                sums = [np.add.reduceat(x[t.first + doc], begin) for x in n]
+                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), *map(pa.array, sums)], ["token", "n0", "n1"])
 
-    pairs = rows.select("text", "toxic").mapInArrow(run, "token long, key long, toxic int")
-    once = pairs.groupBy("token", "key").agg(F.max("toxic").alias("toxic"))
-    return once.groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
+    keys = docs.select("doc_id", "text").mapInArrow(lambda x: texts(x, False), "key long, doc_id long").join(y, "doc_id")
+    labelled = keys.groupBy("key").agg(F.max(1 - F.col("toxic")).alias("n0"), F.max("toxic").alias("n1"))
+    one = docs.select("doc_id", "text").mapInArrow(lambda x: texts(x, True), "key long, text string").dropDuplicates(["key"])
+    found = one.join(labelled, "key").select("text", "n0", "n1").mapInArrow(count, "token long, n0 long, n1 long")
+    return found.groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def karlin_altschul(values: np.ndarray, shares: np.ndarray) -> float:
@@ -137,9 +155,10 @@ def karlin_altschul(values: np.ndarray, shares: np.ndarray) -> float:
     return max(hi, 1e-3)
 
 
-def fit_toxicity(rows: DataFrame) -> ToxicModel:
-    """(text, toxic) of training rows -> model. All rows count; the driver gets the significant tokens and totals."""
-    counts = cut(_witness_counts(rows))
+def fit_toxicity(docs: DataFrame, y: DataFrame) -> ToxicModel:
+    """Training documents (doc_id, text) and their labels (doc_id, toxic) -> model. All labelled rows count; the driver
+    gets the significant tokens and totals."""
+    counts = cut(_witness_counts(docs, y))
     total = counts.agg(F.sum("n0"), F.sum("n1")).first()
     total0, total1 = float(total[0] or 0), float(total[1] or 0)
     if not total0 or not total1:
@@ -175,7 +194,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     y = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id"), FOLD) != HELD)
     y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    model = fit_toxicity(rows.join(y, "doc_id").select("text", "toxic"))
+    model = fit_toxicity(rows.where("doc_id is not null").where(fold_of(F.col("doc_id"), FOLD) != HELD), y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
