@@ -327,6 +327,44 @@ def test_line_dedup(spark, docs, empty):
     assert len(out) == docs.select("doc_id", "text").distinct().count() and line_dedup.line_links(empty).count() == 0
 
 
+def test_near_dedup_stage(spark, docs, empty):
+    """The pipeline's stage against all pairs of five-word shingle sets; near copies differ in more than three bits."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 20, 120]))), "en", "s") for k in range(60)]
+    for k in range(60, 160):
+        w = rows[rng.randrange(60)][1].split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"new{k}"
+        rows.append((k, " ".join(w), "en", "s"))
+    rows += [(160, "", "en", "s"), (161, None, "en", "s"), (None, rows[0][1], "en", "s")]
+
+    def grams(x):
+        w = (x or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+    sets = {d: grams(x) for d, x, _, _ in rows if d is not None}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    far = 0
+    for a in sets:
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += (simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])).bit_count() > 3
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    got = corpus_pipeline.near_dedup(spark, corpus(spark, rows), "")
+    assert far and sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted({root(d) for d in sets})
+    assert got.where("doc_id is null").count() == 1
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0 and corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
