@@ -92,6 +92,31 @@ def test_longest_phrase(spark):
     assert got == {(0, "red rain boots"), (3, "red")}
 
 
+def test_phrase_query_takes_every_text(spark, tmp_path):
+    """The registered query over all products and documents against a brute-force matcher."""
+    from vitrine.plans.queries import QUERIES
+
+    names = ["red bolt", "blue rain boot", "rain boot", "old red"]
+    parts = [(k, names[k % 4], "B", "T", 1.0) for k in range(1, 61)]
+    texts = ["A Red bolt, red; blue rain boot rain boot", "old red bolt old", "", "nothing here", "rain rain boot " * 30]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 5.0)], "l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    phrases = {(n, "title") for n in names} | {(n.split()[0], "color") for n in names} | {(n.split()[1], "category") for n in names}
+    said = {f"asin:{k}": f"show me a {n} or something {n.split()[0]}" for k, n, *_ in parts} | {f"doc:{k}": t for k, t in enumerate(texts)}
+    want = set()
+    for key, text in said.items():
+        t, used = "".join(c if c.isalnum() else " " for c in text.lower()).split(), set()
+        for n in (3, 2, 1):
+            for i in range(len(t) - n + 1):
+                found = [(p, a) for p, a in phrases if p == " ".join(t[i : i + n])]
+                if found and not used & set(range(i, i + n)):
+                    used |= set(range(i, i + n))
+                    want |= {(key, i, n, p, a) for p, a in found}
+    got = [tuple(r) for r in QUERIES["q_phrase_longest_match"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_dominance(spark):
     rows = spark.createDataFrame([("x", "a", 9), ("x", "b", 2), ("y", "a", 3), ("y", "b", 2)], "g string, value string, n long")
     assert [r["g"] for r in registry.dominant(rows, "g").collect()] == ["x"]

@@ -456,8 +456,9 @@ def q_price_extract(spark, d):
 @query()
 def q_phrase_longest_match(spark, d):
     reg = registry.build_registry(registry.unpivot(products(spark, d), "asin", "title", "color", "category"))
-    said = products(spark, d).where("asin <= 50").select("asin", F.concat_ws(" ", F.lit("show me a"), "title", F.lit("or something"), "color").alias("message"))
-    return extract.phrase_spans(said, "asin", "message", reg)
+    said = products(spark, d).select(F.concat(F.lit("asin:"), "asin").alias("key"), F.concat_ws(" ", F.lit("show me a"), "title", F.lit("or something"), "color").alias("message"))
+    texts = table(spark, d, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("key"), F.col("text").alias("message"))
+    return extract.phrase_spans(said.unionByName(texts), "key", "message", reg)
 
 
 @query()
