@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vitrine.llm import components, decontaminate, langid, line_dedup, mixing, quality, secrets, simhash, token_output, topk, toxicity
+from vitrine.llm import components, decontaminate, langid, line_dedup, mixing, near_dup, quality, secrets, simhash, token_output, topk, toxicity
 from vitrine.llm.common import mix, text_chunks, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text2 string, fp long, size string"
@@ -134,11 +134,11 @@ def test_repair_random_access():
     rng = np.random.default_rng(0)
     docs = [np.r_[rng.integers(5, 25, n), 2].astype(np.int64) for n in (0, 1, 300, 5000, 1, 7)]
     docs += [np.r_[np.full(1000, 7), 2], docs[3]]
-    raw = token_output.encode_block([None, *range(7)], docs, 49408)
-    block = token_output.Block(raw)
+    raw = token_output.encode_shard([None, *range(7)], np.array([len(d) for d in docs]), np.concatenate(docs), 49408)
+    block = token_output.Shard(raw)
     assert all((block.document(k) == d).all() for k, d in enumerate(docs))
     assert [d for d, _ in block.documents()] == [None, *range(7)]
-    assert len(raw) < 4 * sum(map(len, docs)) and len(block.rules)
+    assert len(raw) < 4 * sum(map(len, docs)) and len(block.rules) and (block.lengths >= 2).all()
 
 
 def test_language(spark, empty):
@@ -188,19 +188,37 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_toxicity_witnesses(spark):
-    """Different texts that share the words of least hash are witnesses each; copies are one, for each label."""
-    many = [f"w{k}" for k in range(20_000)]
-    h = words(next(text_chunks(pa.array([" ".join(many)]))), alnum=True)[0]
-    least = f"{many[int(h.argmin())]} {many[int(mix(h * np.uint64(0x9E3779B97F4A7C15)).argmin())]}"
+    """Different texts are witnesses each; copies are one, for each label."""
     rng = random.Random(4)
-    rows = [(k, f"{prose(rng, 40)} {'grumpf blarg ' * (k % 5 == 0)}{least}", "en", "s") for k in range(400)]
+    rows = [(k, f"{prose(rng, 40)} {'grumpf blarg ' * (k % 5 == 0)}tail", "en", "s") for k in range(400)]
     y = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(corpus(spark, rows), y).collect()
     assert all(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in got)
-    texts = spark.createDataFrame([(1, "One two"), (2, "one, TWO"), (3, "one two"), (3, "one two"), (4, "two one"), (5, ""), (6, None)], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, "One two"), (2, "one TWO"), (3, "one two"), (3, "one two"), (4, "two one"), (5, ""), (6, None)], "doc_id long, text string")
     y = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 0), (5, 1), (6, 1)], "doc_id long, toxic int")
-    counts = [(r["n0"], r["n1"]) for r in toxicity._witness_counts(texts, y).collect()]
-    assert counts == [(2, 1), (2, 1)]
+    found = toxicity._labelled_texts(texts, y)
+    got = sorted((r["text"].lower(), r["n0"], r["n1"], r["weight"]) for r in found.collect() if r["text"])
+    assert got == [("one two", 1, 1, 1.0), ("two one", 1, 0, 1.0)]
+    uses, seen = toxicity.use_counts(found)
+    assert uses.sum(0)[:, toxicity.slots(words(next(text_chunks(pa.array(["two"]))), alnum=True, prefixes=(4,))[0])[0, 0]].tolist() == [2, 1]
+    assert seen.sum(0).tolist() == [2, 3]  # the texts without words are witnesses of no word
+
+
+def test_toxicity_weights_and_curves(spark):
+    """Log-odds, the extreme-value fit and the combined evidence against their formulas."""
+    n0, n1 = np.array([0.0, 9.0, 0.0]), np.array([0.0, 0.0, 5.0])
+    w = toxicity.log_odds(n0, n1, 90, 10)
+    want = [np.log((b + 1.0) / (a + 9.0)) - np.log(10 / 90) for a, b in zip(n0, n1)]
+    assert np.allclose(w[:3], want, atol=1e-5) and w[3] == 0 and abs(w[0]) < 1e-6
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 2000, 6000)
+    s = (np.log(0.02 * n) - np.log(-np.log(rng.uniform(size=6000)))) / 0.8
+    lam, k = toxicity.fit_extremes(spark.createDataFrame([(float(a), int(b)) for a, b in zip(np.maximum(s, 0), n)], "s double, n long"))
+    assert abs(lam - 0.8) < 0.08 and 0.01 < k < 0.04
+    model = toxicity.ToxicModel(lam, k, -2.0, 0.5)
+    rows = spark.createDataFrame([([], 10), ([1.5], 30), ([9.0, 2.0, 8.0, 0.1], 400)], "scores array<float>, n long")
+    for r in toxicity._evidence(rows, rows["scores"], model).collect():
+        assert r["evidence"] == pytest.approx(model.evidence(np.array(r["scores"], np.float32).astype(float), r["n"]), abs=1e-6)
 
 
 def brute_segments(x):
@@ -296,6 +314,22 @@ def test_top_k(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_shards_and_repeats(spark, monkeypatch):
+    """Many shards, vectors of two lengths, repeated rows and ids, clashing columns; against all pairs."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(4)
+    rows = [(int(k), [float(v) for v in rng.normal(size=6 if k % 7 else 3)]) for k in range(500)]
+    rows += [rows[50]] * 60 + [rows[100], (100, rows[3][1]), (250, []), (300, [])]
+    got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, shard int, x int")).collect())
+    want = []
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        pairs = [
+            (-int(np.floor(256 * np.array(x)) @ np.floor(256 * np.array(y))), j)
+            for i, x in rows if i == q for j, y in rows if j != q and len(x) == len(y)]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(sorted(pairs)[:5])]
+    assert got == want
+
+
 def test_line_dedup(spark, docs, empty):
     rng = random.Random(10)
     base = [prose(rng, 25) for _ in range(12)]
@@ -360,8 +394,7 @@ def test_near_dedup_stage(spark, docs, empty):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     got = corpus_pipeline.near_dedup(spark, corpus(spark, rows), "")
-    assert far and sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted({root(d) for d in sets})
-    assert got.where("doc_id is null").count() == 1
+    assert far and sorted(r["doc_id"] for r in got.collect()) == sorted({root(d) for d in sets})  # the copy with a null id goes
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0 and corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns
 
 
@@ -377,7 +410,7 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         before, now = now, spark.read.parquet(str(tmp_path / str(k)))
         if k == 1:
-            assert now.count() == simhash.simhash_components(before).select("component_id").distinct().count()
+            assert now.count() == near_dup.near_duplicates(before).select("component_id").distinct().count()
         if k == 2:
             bad = {r["doc_id"] for r in decontaminate.contaminated(before, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
             assert {r["doc_id"] for r in now.collect()} == {r["doc_id"] for r in before.collect()} - bad

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +12,17 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at a time; bounds a Python worker's memory whatever the batch holds.
 CHUNK_BYTES = 1 << 21
-#: Rows an Arrow batch holds at most, so that a batch of long texts stays small.
-BATCH_ROWS = 1024
+#: Rows and bytes an Arrow batch holds at most, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests, one machine)."""
+    """The folder that all executors share: what the session names in spark.checkpoint.dir.
+
+    Where it names none, one is set beside the warehouse, which a cluster shares too; never a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shared-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", base)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,14 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets the batch size of the Arrow exchange and makes sure that checkpoints have a place."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the session's Arrow batches by rows and bytes, where a user has not set smaller ones, and makes sure that
+    checkpoints have a place."""
+    for name, limit in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        set_ = spark.conf.get(key, None)
+        size = int(set_) if set_ and set_.isdigit() else 0
+        if not 0 < size <= limit:
+            spark.conf.set(key, str(limit))
     shared_dir(spark)
     return spark
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder; Spark removes it when nothing refers to it."""
+    """Cuts the lineage by a reliable checkpoint in the shared folder. Spark removes the files with the last reference if
+    the session sets spark.cleaner.referenceTracking.cleanCheckpoints; else they stay until the folder is cleared."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -66,6 +74,33 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under column names that clash with nothing, and the new name of each old one's first appearance."""
+    names = [f"column {k}" for k in range(len(df.columns))]
+    first: dict[str, str] = {}
+    for old, new in zip(df.columns, names):
+        first.setdefault(old, f"`{new}`")
+    return df.toDF(*names), first
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """`numbered` undone: the columns of `like`, in its order and under its names."""
+    return df.select(*[F.col(f"`column {k}`") for k in range(len(like.columns))]).toDF(*like.columns)
+
+
+def keep_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose text `keep` finds good: one pass, without a join."""
+    prepare(docs.sparkSession)
+    plain, at = numbered(docs)
+    k = plain.columns.index(at["text"].strip("`"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(k)), pa.bool_()))
+
+    return restored(plain.mapInArrow(run, plain.schema), docs)
+
+
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
@@ -108,32 +143,40 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
         at = end
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: Random odd-multiplier polynomial hash modulo 2**64 over random byte codes: fixed by the seed.
-_CODE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+def pieces(t: Texts, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
+    """A document longer than `limit` in pieces that end at ASCII white space, so that no word is cut; others as they are."""
+    if t.n != 1 or len(t.data) <= limit:
+        yield t
+        return
+    at = 0
+    while at < len(t.data):
+        end = min(at + limit, len(t.data))
+        if end < len(t.data):
+            gaps = np.flatnonzero(SPACE[t.data[at:end]])
+            while not len(gaps) and end < len(t.data):  # one word of more than `limit` bytes stays whole
+                start, end = end, min(end + limit, len(t.data))
+                gaps = np.flatnonzero(SPACE[t.data[start:end]]) + (start - at)
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+        yield Texts(t.data[at:end], np.array([0, end - at]), t.first)
+        at = end
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[:1] = 1
-    out[1:] = base
-    return np.cumprod(out, dtype=np.uint64)
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-_TABLES = {"p": _powers(_P, CHUNK_BYTES + 1), "q": _powers(_P_INVERSE, CHUNK_BYTES + 1)}
+def by_byte(data: np.ndarray, table: bytes) -> np.ndarray:
+    """table[x] of every byte x; several times as fast as an index."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
-def _table(name: str, n: int) -> np.ndarray:
-    if len(_TABLES[name]) < n:
-        return _powers(_P if name == "p" else _P_INVERSE, n)  # a single very long document: not kept
-    return _TABLES[name]
+_AS_IT_IS = np.arange(256, dtype=np.uint8)
+LOWER = _AS_IT_IS.copy()
+LOWER[65:91] += 32
+LOWER = LOWER.tobytes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -147,7 +190,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_spans(t: Texts, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes; runs end at document borders."""
-    w = is_word[t.data]
+    w = by_byte(t.data, is_word.tobytes()).view(bool)
     if not len(w):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin, stop = w.copy(), w.copy()
@@ -160,6 +203,46 @@ def word_spans(t: Texts, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Spans longer than this are hashed one by one.
+_LONG = 4096
+
+
+class Spans:
+    """Hashes of runs of bytes, eight bytes at a time; those of at most eight bytes differ if the runs do."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray(len(data) + 1, "<u8", self.data, strides=(1,))
+
+    def hashes(self, a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+        n = (b - a).astype(np.uint64)
+        salt = np.uint64((seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) % (1 << 64))
+        h = mix(self._block(a, n) * _ODD + mix(n + salt))
+        rest, at = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+        while len(rest):
+            h[rest] = mix((h[rest] ^ self._block(a[rest] + at, n[rest] - np.uint64(at))) * _ODD + salt)
+            at += 8
+            rest = rest[n[rest] > at]
+        if (n > _LONG).any():
+            import xxhash
+
+            for k in np.flatnonzero(n > _LONG).tolist():
+                h[k] = xxhash.xxh64_intdigest(self.data[a[k] : b[k]].tobytes(), seed)
+        return h
+
+    def tails(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The last eight bytes of runs of more than eight, else 0."""
+        return np.where(b - a > 8, self.eight[np.maximum(b - 8, 0)], np.uint64(0))
+
+    def _block(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The first eight of n bytes from a on, or all n of them, as a number."""
+        x = self.eight[a]
+        short = np.flatnonzero(n < 8)
+        x[short] &= (np.uint64(1) << (n[short] << np.uint64(3))) - np.uint64(1)
+        return x
+
+
 def words(
     t: Texts, lower: bool = True, alnum: bool = False, prefixes: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,22 +250,18 @@ def words(
 
     Words are runs of non-space bytes, or of letters, digits and non-ASCII bytes with alnum=True. With `prefixes` the
     first result is (words, 1 + prefixes): next to each word's hash those of its first bytes, 0 where it has no more."""
-    a, b = word_spans(t, _WORD if alnum else ~_SPACE)
+    a, b = word_spans(t, _WORD if alnum else ~SPACE)
     doc = np.searchsorted(t.start, a, "right") - 1
     if not len(a):
         return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), a, b, doc
-    data = LOWER[t.data] if lower else t.data
-    n = len(data)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_CODE[data] * _table("p", n)[:n], out=total[1:])
-    back = _table("q", n)[a]
-    h = mix((total[b] - total[a]) * back + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    spans = Spans(by_byte(t.data, LOWER) if lower else t.data)
+    h = spans.hashes(a, b)
     if prefixes:
         cols = [h]
         for k in prefixes:
-            long = b - a > k
-            part = mix((total[np.minimum(a + k, n)] - total[a]) * back + np.uint64(0xA0761D6478BD642F))
-            cols.append(np.where(long, part, np.uint64(0)))
+            part = np.zeros(len(a), np.uint64)
+            long = np.flatnonzero(b - a > k)
+            part[long] = spans.hashes(a[long], a[long] + k, seed=1)
+            cols.append(part)
         h = np.stack(cols, 1)
     return h, a, b, doc

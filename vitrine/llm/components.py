@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MAX_ROUNDS = 64
-
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. Large: the larger neighbours of a node go to its least neighbour (itself included);
@@ -36,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # to the fixed point
         now = cut(_stars(_stars(now, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

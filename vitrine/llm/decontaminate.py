@@ -12,14 +12,15 @@ benchmark; blocks are cut by item, and the items' texts reach the driver one blo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, prepare
+from .common import cut, keep_texts, only, prepare
 
 #: Edits allowed a byte of the item.
 ERRORS = 0.06
@@ -99,8 +100,15 @@ class ItemIndex:
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """(item_id, distance) of every item that occurs within its budget, ascending."""
+        return sorted(self._matches(text))
+
+    def holds(self, text: str | None) -> bool:
+        """Whether any item occurs within its budget."""
+        return next(self._matches(text), None) is not None
+
+    def _matches(self, text: str | None) -> Iterator[tuple[int, int]]:
         if self.empty or not text:
-            return []
+            return
         x = normalise(text)
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, places) in self.automaton.iter(x.decode("latin-1")):
@@ -110,7 +118,6 @@ class ItemIndex:
                 if begin + len(pattern) + k < len(pattern) - k or begin - k > len(x):
                     continue
                 windows.setdefault(item, []).append((max(0, begin - k), min(len(x), begin + len(pattern) + k)))
-        out = []
         for item, spans in windows.items():
             item_id, pattern, k, bits = self.items[item]
             best, reach = k + 1, -1
@@ -125,8 +132,7 @@ class ItemIndex:
                 if best == 0:
                     break
             if best <= k:
-                out.append((item_id, best))
-        return sorted(out)
+                yield item_id, best
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -155,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
             index = ItemIndex(items, errors)
             for b in batches:
                 who, what, how = [], [], []
-                for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for d, x in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1))):
                     found: dict[int, int] = {}
                     for item, k in index.matches(x):
                         found[item] = min(k, found.get(item, k))
@@ -171,7 +177,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item. Rows with a null doc_id are judged like the others by one shared null id."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct().withColumnRenamed("doc_id", "__bad")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no item, with all their columns.
+
+    Every row is judged by its own text, whatever its doc_id: null and repeated ids are like others, and rows with null
+    or empty texts stay. Each block of items is one pass over the rows that are left."""
+    for items in _blocks(benchmark, block_bytes):
+        docs = keep_texts(docs, _clean(items, errors))
+    return docs
+
+
+def _clean(items: list[tuple[int, str]], errors: float) -> Callable[[pa.Array], np.ndarray]:
+    index = _Lazy(items, errors)
+    return lambda text: np.array([not index.get().holds(x.as_py()) for x in text], bool)
+
+
+class _Lazy:
+    """An index that is built where it is used: its items travel, its automaton does not."""
+
+    def __init__(self, items: list[tuple[int, str]], errors: float):
+        self.items, self.errors, self.index = items, errors, None
+
+    def get(self) -> ItemIndex:
+        if self.index is None:
+            self.index = ItemIndex(self.items, self.errors)
+        return self.index

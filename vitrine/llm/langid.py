@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 n-grams of one to three lower-cased characters are hashed into DIM features; their document frequencies come from every
-training row. Weights are fitted by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a bounded
-sample of the training rows, a part of which is set aside for the temperature that calibrates the probabilities.
+training row. Weights, the bias among them, are fitted by follow-the-regularised-leader (FTRL-proximal) with elastic-net
+penalties on a sample of at most TRAIN_ROWS training rows a language, a part of which is set aside for the temperature
+that calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, fold_of, only, prepare, uniform
 
 DIM = 1 << 14
-#: Expected rows of each language that the weights are fitted on; document frequencies take all rows.
+#: Rows of each language that the weights are fitted on at most; document frequencies take all rows.
 TRAIN_ROWS = 700
+#: So many times as many are drawn by hash before the least hashes are kept.
+_DRAWN = 4
 EPOCHS, ALPHA, BETA, L1, L2, BATCH = 4, 0.5, 1.0, 0.02, 0.02, 16
+#: Value of the feature that every text has.
+BIAS = 0.1
 FOLD, HELD = 4, 2
 SEED = 11
 UNKNOWN = "und"
@@ -81,18 +86,17 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and L2-normalised (1 + log tf) * idf of a text."""
+    """Features and L2-normalised (1 + log tf) * idf of a text, and the bias as the last feature."""
     k, n = gram_counts(text)
     v = (1 + np.log(n)) * idf[k]
-    return k, v / max(float(np.sqrt(v @ v)), 1e-12)
+    return np.append(k, DIM), np.append(v / max(float(np.sqrt(v @ v)), 1e-12), BIAS)
 
 
 class Ftrl:
     """Multinomial logistic regression fitted by FTRL-proximal; the weights with small |z| are exactly zero."""
 
     def __init__(self, classes: int):
-        self.z, self.n = np.zeros((DIM, classes)), np.zeros((DIM, classes))
-        self.bias = np.zeros(classes)
+        self.z, self.n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
         self.temperature = 1.0
 
     def weights(self, k: np.ndarray | slice) -> np.ndarray:
@@ -106,20 +110,19 @@ class Ftrl:
             for i in rng.permutation(len(rows)):
                 k, v = rows[i]
                 w = self.weights(k)
-                p = softmax(v @ w + self.bias)
+                p = softmax(v @ w)
                 p[y[i]] -= 1
                 g = v[:, None] * p
                 sigma = (np.sqrt(self.n[k] + g * g) - np.sqrt(self.n[k])) / ALPHA
                 self.z[k] += g - sigma * w
                 self.n[k] += g * g
-                self.bias -= 0.01 * p
         return self
 
     def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Ftrl:
         """The temperature with the least log loss on rows that the weights have not seen."""
         if len(rows):
             w = self.weights(slice(None))
-            logits = np.stack([v @ w[k] + self.bias for k, v in rows])
+            logits = np.stack([v @ w[k] for k, v in rows])
             grid = np.geomspace(0.05, 20, 61)
             loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
             self.temperature = float(grid[int(np.argmin(loss))])
@@ -134,7 +137,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def identify_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Documents (doc_id, text, lang, ...) -> doc_id, held_out, lang_pred, score: one row for each document.
 
-    Learns only from text and lang of rows with a lang whose crc32(doc_id as text) mod 4 is not 2. `score` is the
+    Learns only from text and lang of rows with a lang whose crc32(doc_id as text) mod 4 is not 2; ids that repeat or are
+    null are no obstacle, as rows are drawn one by one. `score` is the
     calibrated probability of lang_pred. Texts that are null or without a letter give `und` with score 0; so does every
     text if there is nothing to learn from, and with one language all others get it with score 1. A null doc_id trains
     and is scored like another. An empty table gives an empty result; other columns are ignored.
@@ -150,8 +154,11 @@ def identify_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFra
     else:
         df, n = document_frequencies(train)
         idf = np.log((1.0 + n) / (1.0 + df)) + 1
-        share = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(min(1.0, train_rows / counts[c])))])
-        sample = train.where(uniform(F.col("doc_id"), F.lit(SEED)) < share[F.col("lang")]).select("doc_id", "text", "lang")
+        share = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(min(1.0, _DRAWN * train_rows / counts[c])))])
+        # Drawn by a hash of the row; rows that repeat in full are drawn once, and the least hashes of each language stay.
+        drawn = train.withColumn("u", uniform(F.col("doc_id"), F.col("text"), F.lit(SEED))).where(F.col("u") < share[F.col("lang")])
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+        sample = drawn.dropDuplicates(["lang", "u"]).withColumn("rank", rank).where(F.col("rank") <= train_rows).select("doc_id", "text", "lang")
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -160,14 +167,14 @@ def identify_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFra
                     [b.column(0), b.column(2), pa.array([k.astype("<u2").tobytes() for k, _ in found], pa.binary()),
                      pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "lang", "k", "v"])
 
-        got = sample.mapInArrow(gather, "doc_id long, lang string, k binary, v binary").toPandas()  # about train_rows a language
+        got = sample.mapInArrow(gather, "doc_id long, lang string, k binary, v binary").toPandas()  # at most train_rows a language
         got = got.sort_values(["doc_id", "lang", "k"], kind="stable", na_position="first")
         vectors = [(np.frombuffer(k, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for k, v in zip(got["k"], got["v"])]
         y = got["lang"].map({c: i for i, c in enumerate(langs)}).to_numpy(np.int64)
         aside = np.arange(len(y)) % 5 == 4
         pick = lambda m: [v for v, x in zip(vectors, m) if x]
         fitted = Ftrl(len(langs)).fit(pick(~aside), y[~aside]).calibrate(pick(aside), y[aside])
-        model = (fitted.weights(slice(None)).astype(np.float64), fitted.bias, fitted.temperature)
+        model = (fitted.weights(slice(None)).astype(np.float64), fitted.temperature)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +185,7 @@ def identify_languages(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFra
                     scores.append(0.0)
                     continue
                 k, v = vector(x, idf)
-                p = softmax((v @ model[0][k] + model[1]) / model[2])
+                p = softmax(v @ model[0][k] / model[1])
                 best = int(p.argmax())
                 names.append(langs[best])
                 scores.append(min(1.0, float(p[best])))

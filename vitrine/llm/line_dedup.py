@@ -1,378 +1,33 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct words (A-Z lowered). Lines with equal token sets are one class, first at its first line
-in the order of (doc_id, text hash, line number). Classes link at Jaccard similarity of at least THRESHOLD:
-
-1. Token frequencies go into a table of fixed size (2**FREQUENCY_BITS hashed counters), which orders every line's tokens
-   by rarity (class of frequency, then hash): the same total order everywhere.
-2. Prefix filter: of n tokens, the n - ceil(t n) + 1 rarest get a posting (token, class, n, position, parity bitmap);
-   tokens that occur in one line only get none. Two classes that link share a prefix token.
-3. Within a token, pairs are tested by length, by position (the tokens left must allow the overlap) and by the parity
-   bitmap (its Hamming distance is at most the symmetric difference). Only classes with a partner stay.
-4. Those get their token sets, and each token's group is verified exactly, as products of 0/1 matrices in blocks. A pair
-   counts where its first common prefix token is, so it counts once. A group gives one row a class, not its pairs.
-
-A line is removed if an earlier line has its class or a class that links to it.
+in the order of (doc_id, text hash, line number). Classes link at a Jaccard similarity of at least THRESHOLD; setjoin
+finds the links by prefix, length and position filters over tokens in order of rarity, and verifies them exactly. A line
+is removed if an earlier line has its class or a class that links to it.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, cut, mix, only, prepare, scratch_path, text_chunks, words
+from .common import cut, numbered, only, prepare, restored
+from .setjoin import candidate_groups, scan_units, verified_counts
 
 THRESHOLD = 0.8
-FREQUENCY_BITS = 20
-FILTER_BITS = 22
-#: Classes of a token that are verified in one block; larger groups are split into pairs of blocks.
-BLOCK = 1024
-#: Bits of a token's hash next to its rarity class.
-_HASH_BITS = 56
-_SHORT = np.uint64(((1 << _HASH_BITS) - 1) << (64 - _HASH_BITS))
-_FMASK = np.uint64((1 << FREQUENCY_BITS) - 1)
-_KMASK = np.uint64((1 << FILTER_BITS) - 1)
-
-
-class Lines:
-    """The non-blank lines of a chunk and their distinct tokens, grouped by line (CSR: tokens[at[k]:at[k + 1]])."""
-
-    def __init__(self, t: Texts, frequency: np.ndarray | None = None):
-        h, a, _, doc = words(t)
-        breaks = np.flatnonzero(t.data == 10)
-        number = np.searchsorted(breaks, a)  # line breaks before the word, over the chunk
-        number = number - np.searchsorted(breaks, t.start[:-1])[doc]
-        line = doc.astype(np.int64) << 32 | number
-        if frequency is not None:  # a token is now its rarity class, then its hash: one number, the same everywhere
-            rarity = frequency[(h & _FMASK).astype(np.int64)].astype(np.uint64)
-            h = rarity << np.uint64(_HASH_BITS) | h >> np.uint64(64 - _HASH_BITS)
-        dense = np.cumsum(np.r_[False, line[1:] != line[:-1]]) if len(line) else line
-        order = np.argsort(h)
-        order = order[np.argsort(dense[order].astype(np.uint16 if len(dense) and dense[-1] < 1 << 16 else np.uint32), kind="stable")]
-        h, line = h[order], line[order]
-        first = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
-        self.tokens, line = h[first], line[first]
-        begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-        self.at = np.r_[begin, len(line)].astype(np.int64)
-        self.doc, self.number = line[begin] >> 32, line[begin] & 0xFFFFFFFF
-        self.n = np.diff(self.at)
-        # The class: the sum of the tokens' mixed hashes, mixed with their number.
-        if len(begin):
-            self.key = mix(np.add.reduceat(mix((self.tokens if frequency is None else self.tokens << np.uint64(64 - _HASH_BITS)) & _SHORT), begin) + self.n.astype(np.uint64))
-        else:
-            self.key = np.zeros(0, np.uint64)
-
-
-def needed_overlap(n: np.ndarray, m: np.ndarray, t: float = THRESHOLD) -> np.ndarray:
-    return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
-
-
-def rarity_class(count: np.ndarray) -> np.ndarray:
-    """0 for a counter of at most one line, then growing with its logarithm, in steps of a sixteenth of an octave."""
-    return np.where(count > 1, np.minimum(1 + 6 * np.log2(np.maximum(count, 2)), 254), 0).astype(np.uint8)
-
-
-_TILE = 1 << 12
-
-
-_SCAN = "doc_id long, th long, line int, key long, tile long, n binary"
-
-
-def _scan(rows: DataFrame) -> DataFrame:
-    """The one pass over the texts that needs no frequencies, as a table in the shared folder: for every non-blank line
-    (doc_id, th, line, key), its class, and from each task its counters of lines by token in tiles (tile, n)."""
-    spark = rows.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("tile", pa.int64()), ("n", pa.binary())])
-
-        def out(size: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
-
-        for b in batches:
-            for t in text_chunks(b.column(2)):
-                x = Lines(t)
-                count += np.bincount((x.tokens & _FMASK).astype(np.int64), minlength=len(count))
-                who = pa.array(t.first + x.doc)
-                yield out(
-                    len(who), doc_id=b.column(0).take(who), th=b.column(1).take(who),
-                    line=pa.array(x.number, pa.int32()), key=pa.array(x.key.view(np.int64)))
-        tiles = np.minimum(count, (1 << 32) - 1).astype("<u4").reshape(-1, _TILE)
-        for s in range(0, len(tiles), 64):
-            some = tiles[s : s + 64]
-            yield out(len(some), tile=pa.array(np.arange(s, s + len(some))), n=pa.array([x.tobytes() for x in some], pa.binary()))
-
-    path = scratch_path(spark, "lines")
-    rows.select("doc_id", "th", "text").mapInArrow(run, _SCAN).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(_SCAN).parquet(path)
-
-
-def _frequencies(scan: DataFrame) -> np.ndarray:
-    """Rarity class of each counter, from the lines that hold its tokens: over every line.
-
-    The tasks' counters are summed by tile; a fixed number of counters reaches the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int64()), pa.array([rarity_class(x).tobytes() for x in total.values()], pa.binary())], ["k", "n"])
-
-    tiles = scan.where("tile is not null").select("tile", "n").repartition("tile").mapInArrow(add, "k long, n binary")
-    out = np.zeros((1 << FREQUENCY_BITS) // _TILE * _TILE, np.uint8).reshape(-1, _TILE)
-    for r in tiles.collect():
-        out[r["k"]] = np.frombuffer(r["n"], np.uint8)
-    return out.ravel()
-
-
-def _parity(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bit = np.uint64(1) << ((tokens >> np.uint64(40)) & np.uint64(63))
-    high = (tokens >> np.uint64(46)) & np.uint64(1) == 1
-    zero = np.uint64(0)
-    return np.bitwise_xor.reduceat(np.where(high, zero, bit), begin), np.bitwise_xor.reduceat(np.where(high, bit, zero), begin)
-
-
-def _postings(rows: DataFrame, frequency, t: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequency.value
-        for b in batches:
-            for chunk in text_chunks(b.column(0)):
-                x = Lines(chunk, table)
-                if not len(x.n):
-                    continue
-                _, one = np.unique(x.key, return_index=True)  # a class that repeats here needs one posting
-                p0, p1 = _parity(x.tokens, x.at[:-1])
-                size = x.n[one] - np.ceil(t * x.n[one] - 1e-9).astype(np.int64) + 1
-                line = np.repeat(one, size)
-                pos = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-                token = x.tokens[x.at[line] + pos]
-                shared = token >> np.uint64(_HASH_BITS) > 0
-                line, pos, token = line[shared], pos[shared], token[shared]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(x.n[line], pa.int32()), pa.array(x.key[line].view(np.int64)),
-                     pa.array(pos, pa.int32()), pa.array(p0[line].view(np.int64)), pa.array(p1[line].view(np.int64))],
-                    ["token", "n", "key", "pos", "p0", "p1"])
-
-    return rows.select("text").mapInArrow(run, "token long, n int, key long, pos int, p0 long, p1 long")
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Columns of a partition sorted by its first column, in runs that never cut a value of it in two."""
-    rest: list[list[np.ndarray]] = []
-    for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if last == 0 and rest and rest[-1][0][-1] == cols[0][0]:
-            rest.append(cols)
-            continue
-        head = [x[:last] for x in cols]
-        out = [np.concatenate(z) for z in zip(*rest, head)] if rest else head
-        rest = [[x[last:] for x in cols]]
-        if len(out[0]):
-            yield out
-    if rest:
-        yield [np.concatenate(z) for z in zip(*rest)] if len(rest) > 1 else rest[0]
-
-
-def with_partner(token, n, key, pos, p0, p1, t: float = THRESHOLD) -> np.ndarray:
-    """Rows that pass the filters with another row of their token. Rows are sorted by (token, n, key)."""
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    active = np.zeros(len(token), bool)
-    i = np.arange(len(token) - 1)
-    step = 1
-    while True:
-        i = i[i + step < len(token)]
-        j = i + step
-        go = (token[j] == token[i]) & (t * n[j] <= n[i] + 1e-9)  # length filter; rows are sorted by n
-        i, j = i[go], j[go]
-        if not len(i):
-            return active
-        need = needed_overlap(n[i], n[j], t)
-        ok = (key[i] != key[j]) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need)
-        far = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j])
-        ok &= far <= n[i] + n[j] - 2 * need
-        active[i[ok]] = True
-        active[j[ok]] = True
-        step += 1
-
-
-def _active(postings: DataFrame, t: float) -> DataFrame:
-    """(token, key, part): classes with a possible partner; part numbers the pair of blocks of a large group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _whole_groups(batches, 6):
-            fresh = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])]  # a class may come from many chunks
-            token, n, key, pos, p0, p1 = (x[fresh] for x in cols)
-            good = with_partner(token, n, key, pos, p0.view(np.uint64), p1.view(np.uint64), t)
-            token, key = token[good], key[good]
-            if not len(token):
-                continue
-            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.diff(np.r_[begin, len(token)])
-            blocks = np.repeat(-(-size // BLOCK), size)
-            mine = (np.arange(len(token)) - np.repeat(begin, size)) // BLOCK
-            row = np.repeat(np.arange(len(token)), blocks)  # a member of block b joins the parts {b, c} of every c
-            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            part = np.minimum(mine[row], other) << 16 | np.maximum(mine[row], other)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[row]), pa.array(key[row]), pa.array(part, pa.int32()), pa.array(mine[row], pa.int32())], ["token", "key", "part", "block"])
-
-    spread = postings.repartition("token").sortWithinPartitions("token", "n", "key")
-    return spread.mapInArrow(run, "token long, key long, part int, block int")
-
-
-def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits that holds every key; its size is fixed."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast((key & {(1 << FILTER_BITS) - 1}) % 64 as int))").alias("b"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[r["w"]] = np.int64(r["b"]).view(np.uint64)
-    return out
-
-
-def _sets(rows: DataFrame, frequency, bits, t: float) -> DataFrame:
-    """(key, tokens, prefix): the token sets, rarest first, of the lines whose class the bitmap holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, have = frequency.value, bits.value
-        for b in batches:
-            for chunk in text_chunks(b.column(0)):
-                x = Lines(chunk, table)
-                slot = x.key & _KMASK
-                hit = (have[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                pick = np.flatnonzero(hit)
-                if not len(pick):
-                    continue
-                _, one = np.unique(x.key[pick], return_index=True)
-                pick = pick[one]
-                raw = x.tokens.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.key[pick].view(np.int64)),
-                     pa.array([raw[8 * x.at[k] : 8 * x.at[k + 1]] for k in pick.tolist()], pa.binary())], ["key", "tokens"])
-
-    return rows.select("text").mapInArrow(run, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
-
-
-def verify_group(token: int, tokens: list[np.ndarray], block: np.ndarray, order: np.ndarray, t: float = THRESHOLD):
-    """Links and earlier flags of one token's classes (of one pair of blocks), by exact Jaccard similarity.
-
-    `order` ranks the classes by first line; with two blocks, only pairs across them count."""
-    size = np.array([len(x) for x in tokens], np.int64)
-    row = np.repeat(np.arange(len(tokens)), size)
-    flat = np.concatenate(tokens)
-    prefix_size = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-    pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    value, column = np.unique(flat, return_inverse=True)
-    where = int(np.searchsorted(value, np.uint64(token)))
-    mine = np.zeros(len(tokens), np.int64)
-    mine[row[column == where]] = pos[column == where]
-    common = np.bincount(column, minlength=len(value)) > 1
-    name = np.cumsum(common) - 1
-    use = common[column]
-    full = np.zeros((len(tokens), int(common.sum())), np.float32)
-    full[row[use], name[column[use]]] = 1
-    early = np.zeros_like(full)  # prefix tokens before this one
-    e = use & (pos < np.minimum(prefix_size, mine)[row])
-    early[row[e], name[column[e]]] = 1
-    links, earlier = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-    both = len(np.unique(block)) > 1
-    for s in range(0, len(tokens), 512):
-        r = slice(s, min(s + 512, len(tokens)))
-        overlap = full[r] @ full.T
-        good = overlap >= needed_overlap(size[r, None], size[None, :], t)
-        good &= np.arange(r.start, r.stop)[:, None] != np.arange(len(tokens))[None, :]
-        if both:
-            good &= block[r, None] != block[None, :]
-        near, to = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
-        if not len(near):
-            continue
-        good[np.ix_(near, to)] &= (early[r][near] @ early[to].T) == 0
-        links[r] += good.sum(1)
-        earlier[r] |= (good & (order[None, :] < order[r, None])).any(1)
-    return links, earlier
-
-
-#: Groups up to this size are compared as sets, pair by pair.
-SMALL = 8
-
-
-def verify_few(token: int, tokens: list[np.ndarray], block: list[int], order: np.ndarray, t: float = THRESHOLD):
-    """verify_group for a few classes, without matrices."""
-    rows = [x.tolist() for x in tokens]
-    full = [set(x) for x in rows]
-    prefix = [set(x[: len(x) - math.ceil(t * len(x) - 1e-9) + 1]) for x in rows]
-    links, earlier = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-    both = len(set(block)) > 1
-    for i in range(len(rows)):
-        for j in range(i):
-            n, m = len(rows[i]), len(rows[j])
-            if both and block[i] == block[j] or min(n, m) < t * max(n, m) - 1e-9:
-                continue
-            if len(full[i] & full[j]) >= math.ceil(t / (1 + t) * (n + m) - 1e-9) and min(prefix[i] & prefix[j]) == token:
-                links[i] += 1
-                links[j] += 1
-                earlier[i if order[j] < order[i] else j] = True
-    return links, earlier
-
-
-def _verified(groups: DataFrame, t: float) -> DataFrame:
-    """(token, part, block, key, tokens, f1, f2, f3) -> (key, links, earlier), summed over tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: list[tuple]) -> pa.RecordBatch | None:
-            if len(rows) < 2:
-                return None
-            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-            order = np.empty(len(rows), np.int64)
-            order[sorted(range(len(rows)), key=lambda k: tuple((x is None, x) for x in rows[k][5:8]))] = np.arange(len(rows))
-            token, block = rows[0][0] % (1 << 64), [r[2] for r in rows]
-            few = len(rows) <= SMALL
-            links, earlier = verify_few(token, sets, block, order, t) if few else verify_group(token, sets, np.array(block), order, t)
-            k = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i in k], pa.int64()), pa.array(links[k]), pa.array(earlier[k])], ["key", "links", "earlier"])
-
-        now, held = None, []
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(8))):
-                if r[:2] != now:
-                    if (out := settle(held)) is not None:
-                        yield out
-                    now, held = r[:2], []
-                held.append(r)
-        if (out := settle(held)) is not None:
-            yield out
-
-    spread = groups.repartition("token", "part").sortWithinPartitions("token", "part")
-    found = spread.mapInArrow(run, "key long, links long, earlier boolean")
-    return found.groupBy("key").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
 
 def class_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(lines, classes): lines (doc_id, th, line, key) and classes (key, first, links, earlier)."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = only(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    scan = _scan(rows)
-    lines = scan.where("tile is null").select("doc_id", "th", "line", "key")
+    lines, tiles, bits = scan_units(rows)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line")
     classes = cut(lines.groupBy("key").agg(F.min(place).alias("first")))
-    frequency = spark.sparkContext.broadcast(_frequencies(scan))
-    active = cut(_active(_postings(rows, frequency, threshold), threshold))
-    bits = spark.sparkContext.broadcast(_key_filter(active.select("key")))
-    members = active.join(classes.hint("shuffle_hash"), "key").select("token", "key", "part", "block", "first")
-    sets = _sets(rows, frequency, bits, threshold).withColumnRenamed("key", "k")
-    groups = members.join(sets, F.col("key") == F.col("k")).select("token", "part", "block", "key", "tokens", "first.doc_id", "first.th", "first.line")
-    linked = cut(_verified(groups, threshold)).withColumnRenamed("key", "k")
+    groups = candidate_groups(rows, tiles, bits, threshold).withColumnRenamed("key", "k")
+    groups = groups.join(classes.hint("shuffle_hash"), F.col("key") == F.col("k")).select(
+        "token", "part", "block", "key", "tokens", "first.doc_id", "first.th", "first.line")
+    linked = cut(verified_counts(groups, threshold)).withColumnRenamed("key", "k")
     classes = classes.join(linked, F.col("key") == F.col("k"), "left").select(
         "key", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")
     )
@@ -410,12 +65,14 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with their removed lines taken out of the text; blank lines and line order stay."""
-    gone = line_decisions(docs, threshold).where("removed").groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")).toDF("__d", "__h", "__gone")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
+    """The documents with their removed lines taken out of the text; blank lines, line order and all columns stay."""
+    gone = line_decisions(docs, threshold).where("removed").groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
+    plain, at = numbered(docs)
+    doc_id, text = F.col(at["doc_id"]).cast("long"), F.col(at["text"])
+    joined = plain.join(gone, doc_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("th")), "left")
     kept = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.coalesce(F.array_contains("__gone", i), F.lit(False)), x)),
+        F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~F.coalesce(F.array_contains("gone", i), F.lit(False)), x)),
         lambda x: x.isNotNull(),
     )
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return restored(joined.withColumn(at["text"].strip("`"), new), docs)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only, prepare, uniform
+from .common import cut, numbered, only, prepare, restored, uniform
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -119,18 +119,9 @@ def _one_each(now: DataFrame) -> bool:
     return now.groupBy("source").count().where("count > 1").isEmpty()
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
-    max_epochs: float = MAX_EPOCHS, block: int = BLOCK, seed: int = SEED,
-) -> DataFrame:
-    """Documents (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, copies, source: one row each.
-
-    size counts words of the whole text (null and empty: 0). copies is how often the mix holds the document, at most
-    ceil(max_epochs); taken = copies * size. A null source is a source of its own, last in order. A source without words
-    has target 0. Rows that agree in doc_id, source and size are interchangeable: the whole part of their common share
-    is dealt first and at most one of them is rounded. Null doc_ids are documents too. The result depends on the rows
-    alone, so reruns agree. An empty table gives an empty result; other columns are ignored.
-    """
+def _units(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, block: int, seed: int) -> DataFrame:
+    """doc_id, source, size, m, source_size, target, whole, upper: the m rows that agree in the first three are taken
+    `whole` times each, and `upper` of them once more."""
     prepare(docs.sparkSession)
     rows = only(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     units = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")))
@@ -152,30 +143,58 @@ def mix_sources(
     out = units.join(
         bits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")) & F.col("source").eqNullSafe(F.col("s")), "left"
     )
+    return out.select("doc_id", "source", "size", "m", "source_size", "target", "whole", (F.col("extra") + F.coalesce(F.col("bit"), F.lit(0))).alias("upper"))
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
+    max_epochs: float = MAX_EPOCHS, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """Documents (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, copies, source: one row each.
+
+    size counts words of the whole text (null and empty: 0). copies is how often the mix holds the document, at most
+    ceil(max_epochs); taken = copies * size. A null source is a source of its own, last in order. A source without words
+    has target 0. Rows that agree in doc_id, source and size are interchangeable: the whole part of their common share
+    is dealt first and at most one of them is rounded. Null doc_ids are documents too. The result depends on the rows
+    alone, so reruns agree. An empty table gives an empty result; other columns are ignored.
+    """
+    units = _units(docs, weights, share, max_epochs, block, seed)
     return (
-        out.select(
-            "doc_id", "source", "size", "source_size", "target", "whole",
-            (F.col("extra") + F.coalesce(F.col("bit"), F.lit(0))).alias("upper"),
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth"),
-        )
+        units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
         .withColumn("copies", F.col("whole") + (F.col("nth") <= F.col("upper")).cast("long"))
         .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
     )
 
 
-def repeat_to_mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """The documents as the mix holds them: a document that it takes twice is two rows, one that it leaves out is none.
-
-    Rows that agree in doc_id, source and size share their copies: each is held the whole part of the mean, and once
-    more with the probability of the rest."""
-    mix = mix_sources(docs, seed=seed, **options)
-    mean = mix.groupBy("doc_id", "source", "size").agg(F.avg("copies").alias("mean")).toDF("__d", "__s", "__n", "__mean")
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__u", uniform(F.monotonically_increasing_id(), F.lit(seed)))
-    joined = sized.join(
-        mean, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
+def repeat_to_mix(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
+    max_epochs: float = MAX_EPOCHS, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """The documents as the mix holds them, with all their columns: a document that it takes twice is two rows, one that
+    it leaves out is none.
+
+    Rows that agree in doc_id, source and size share their copies: those with the least text hashes are taken once more.
+    Of rows that agree in the text as well, one stands for all, as often as they are taken together. So the result
+    depends on the rows alone, whatever their partitions."""
+    units = cut(_units(docs, weights, share, max_epochs, block, seed).select(
+        F.col("doc_id").alias("unit doc_id"), F.col("source").alias("unit source"), F.col("size").alias("unit size"), "m", "whole", "upper"))
+    plain, at = numbered(docs)
+    same = (
+        F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("`unit doc_id`")) & F.col(at["source"]).eqNullSafe(F.col("`unit source`"))
+        & (word_count(F.col(at["text"])) == F.col("`unit size`"))
     )
-    times = F.floor("__mean") + (F.col("__u") < F.col("__mean") - F.floor("__mean")).cast("int")
-    held = joined.withColumn("__times", times).where("__times > 0")
-    return held.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
-
-
+    every = [F.col(f"`{c}`") for c in plain.columns]
+
+    def repeated(df: DataFrame, times: Column) -> DataFrame:
+        held = df.withColumn("times", times).where("times > 0")
+        return held.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*every)
+
+    single = repeated(plain.join(units.where("m = 1"), same), F.col("whole") + F.col("upper"))
+    # Units of several rows: their texts in order of hash, with the number of rows that have each.
+    group = ["unit doc_id", "unit source", "unit size"]
+    texts = plain.join(units.where("m > 1"), same).withColumn("text hash", F.xxhash64(at["text"])).groupBy(*group, "text hash").agg(
+        F.count("*").alias("rows"), F.first("whole").alias("whole"), F.first("upper").alias("upper"), F.first(F.struct(*every)).alias("row"))
+    before = F.sum("rows").over(Window.partitionBy(*group).orderBy("text hash")) - F.col("rows")
+    more = F.greatest(F.lit(0).cast("long"), F.least(F.col("rows"), F.col("upper") - before))
+    shared = texts.withColumn("times", F.col("whole") * F.col("rows") + more).select(*[F.col(f"row.`{c}`").alias(c) for c in plain.columns], "times")
+    return restored(single.unionByName(repeated(shared, F.col("times"))), docs)

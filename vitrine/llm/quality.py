@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, only, prepare, text_chunks, words
+from .common import cut, fold_of, keep_texts, only, prepare, text_chunks, words
 
 SHRINK = 0.15
 POOL = 0.10
@@ -136,6 +136,13 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip((g[0] - g[1]) / self.temperature - self.prior, -500, 500)))
 
 
+def fit(feats: DataFrame, labels: DataFrame) -> Discriminant:
+    """Statistics (doc_id, x) and labels -> the discriminant of the rows whose crc32(doc_id as text) mod 4 is not 2."""
+    y = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(fold_of(F.col("doc_id"), FOLD) != HELD)
+    y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).agg(F.count("*").alias("weight"))
+    return Discriminant(class_sums(feats.join(y, "doc_id")))
+
+
 def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents and labels (doc_id, quality 0/1) -> doc_id, held_out, score, predicted: one row for each document.
 
@@ -144,9 +151,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     again. A null doc_id matches no label. Empty tables give an empty result or, without labels, scores of 0.5.
     """
     feats = cut(features(docs))
-    y = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(fold_of(F.col("doc_id"), FOLD) != HELD)
-    y = y.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).agg(F.count("*").alias("weight"))
-    model = Discriminant(class_sums(feats.join(y, "doc_id")))
+    model = fit(feats, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,6 +165,11 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject (predicted 1). Rows with a null doc_id stay."""
-    good = fit_and_score(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The documents that the classifier does not reject (score of at least THRESHOLD), with all their columns.
+
+    Every row is judged by its own text, whatever its doc_id: null and repeated ids are like others. Null and empty
+    texts are judged by their statistics of zeros."""
+    prepare(docs.sparkSession)
+    learn = only(docs, "doc_id", "text").where(fold_of(F.col("doc_id").cast("long"), FOLD) != HELD)
+    model = fit(features(learn), labels)
+    return keep_texts(docs, lambda text: model.score(statistics(text)) >= THRESHOLD)

@@ -19,15 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, only, prepare
+from .common import cut, numbered, only, prepare, restored, shuffle_partitions
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 _SEGMENTS, _WIDTH = 4, 16
-#: Rows of a key above which candidates are looked up by the third segment instead of compared one by one.
+#: Rows of a key above which candidates are looked up by the third segment instead of compared one by one; the links
+#: span the same components either way.
 _DENSE = 2048
 #: Shingle hashes counted at a time.
 _BLOCK = 1 << 16
@@ -180,7 +182,8 @@ def near_duplicate_components(prints: DataFrame, max_bits: int = MAX_BITS) -> Da
     if not 0 <= max_bits <= 3:
         raise ValueError("the four-segment ring holds for at most 3 differing bits")
     nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = connected_components(_links(_keys(nodes.select("fp", F.col("fp").alias("node"))), max_bits))
+    spread = nodes.repartition(shuffle_partitions(prints.sparkSession), "fp")  # 68 index rows come from each fingerprint
+    comp = connected_components(_links(_keys(spread.select("fp", F.col("fp").alias("node"))), max_bits))
     linked = cut(nodes.join(comp, nodes["fp"] == comp["node"]).select("fp", "least", "component"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     found = linked.join(least, "component").select("fp", "component_id")
@@ -205,10 +208,21 @@ def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
     )
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents without near duplicates: of each component, the row with the least doc_id stays.
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents without near duplicates, with all their columns: of each component, the row with the least
+    (doc_id, fingerprint) stays; of rows that agree in both, one. Rows with a null doc_id link nothing and stay."""
+    prints = cut(fingerprints(docs, shingle_words))
+    each = near_duplicate_components(prints, max_bits)
+    first = prints.where("doc_id is not null").join(each, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("d"), F.col("first.fp").alias("f"))
+    plain, at = numbered(docs)
+    k = [plain.columns.index(at[c].strip("`")) for c in ("doc_id", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(x.as_py(), shingle_words) for x in b.column(k[1])), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "fp"])
 
-    Of rows that repeat that doc_id, one stays. Rows with a null doc_id stay."""
-    comp = simhash_components(docs, **options).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(comp, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    with_fp = plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("fp", LongType())]))
+    kept = with_fp.join(first, (F.col(at["doc_id"]).cast("long") == F.col("d")) & (F.col("fp") == F.col("f"))).dropDuplicates(["d", "f"])
+    return restored(kept.select(*plain.columns).unionByName(plain.where(F.col(at["doc_id"]).isNull())), docs)

@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by ball-tree branch and bound in every shard.
 
-Candidates are dealt by a hash of their id to shards of bounded size; each shard builds a ball tree (split at the median of the
-widest direction; a ball's inner products with q are at most q.c + |q| r). Queries come in blocks. A first pass takes
-each query through one shard, its home, and shares the k-th score found there; every other shard then starts from that bound,
-visits nodes by falling upper bound and stops a query as soon as no node can reach its k-th score. Ties go to the
-smaller id, so a node whose bound equals the k-th score is still searched.
+Candidates are dealt by hash to shards of bounded size; each shard builds a ball tree (split at the median of the widest
+direction; a ball's inner products with q are at most q.c + |q| r). A first pass takes each query through one shard, its
+home, and shares the k-th score found there; every other shard builds its tree once, has all queries streamed to it,
+starts each from that bound, visits nodes by falling upper bound and stops as soon as no node can reach the query's k-th
+score. So vectors are shuffled once, however many queries there are. Ties go to the smaller id, so a node whose bound
+equals the k-th score is still searched.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +22,8 @@ from .common import cut, only, prepare
 K = 5
 QUERY_EVERY = 50
 SCALE = 256
-#: Vectors a shard and queries a block hold on average; they bound a task's memory.
+#: Vectors that a shard holds on average; bounds a task's memory.
 SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
 LEAF = 64
 
 
@@ -103,23 +103,51 @@ def _push(heap, item):
 
 
 _HITS = "query_id long, vec_id long, score double"
+_ROW = "shard int, query boolean, id long, x array<double>, floor double"
+
+
+def _by_length(ids: pa.Array, x: pa.Array, *more: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids, vectors as a matrix and further columns, for each length of vectors."""
+    size = np.diff(np.asarray(x.offsets))
+    flat, start = np.asarray(x.values, float), np.asarray(x.offsets)[:-1]
+    for d in np.unique(size).tolist():
+        k = np.flatnonzero(size == d)
+        yield (np.asarray(ids)[k], flat[start[k][:, None] + np.arange(d)], *(np.asarray(c)[k] for c in more))
+
+
+def _trees(ids: pa.Array, x: pa.Array) -> dict[int, BallTree]:
+    return {m.shape[1]: BallTree(i, m) for i, m in _by_length(ids, x)}
+
+
+def _hits(trees: dict[int, BallTree], ids: pa.Array, x: pa.Array, floor: pa.Array, k: int) -> pa.RecordBatch:
+    """The best candidates of each query; vectors of another length have no product."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for qid, q, low in _by_length(ids, x, floor):
+        if (tree := trees.get(q.shape[1])) is not None:
+            parts += [(np.full(len(d), i), d, s) for i, (s, d) in zip(qid, tree.search(qid, q, low, k))]
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
 
 def _search(k: int):
-    def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(candidates) or not len(queries):
-            return empty
-        parts = []
-        for dim, c in candidates.groupby(candidates["x"].map(len)):  # vectors of another length have no product
-            q = queries[queries["q"].map(len) == dim]
-            if not len(q):
-                continue
-            tree = BallTree(c["vec_id"].to_numpy(np.int64), np.stack(c["x"].to_numpy()).astype(float))
-            qid = q["query_id"].to_numpy(np.int64)
-            for i, (s, d) in zip(qid, tree.search(qid, np.stack(q["q"].to_numpy()).astype(float), q["floor"].to_numpy(float), k)):
-                parts.append(pd.DataFrame({"query_id": np.full(len(d), i), "vec_id": d, "score": s}))
-        return pd.concat(parts, ignore_index=True) if parts else empty
+    """Rows of _ROW sorted by shard, candidates before queries: one tree a shard, to which its queries stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, trees = None, [], {}
+        for b in batches:
+            shard, query = np.asarray(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (query[1:] != query[:-1])])
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)]):
+                part = b.slice(lo, hi - lo)
+                if shard[lo] != now:
+                    now, held, trees = shard[lo], [], {}
+                if not query[lo]:
+                    held.append(part)
+                    continue
+                if held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    trees, held = _trees(whole.column("id").chunk(0), whole.column("x").chunk(0)), []
+                yield _hits(trees, part.column(2), pa.concat_arrays([part.column(3)]), part.column(4), k)
 
     return run
 
@@ -129,44 +157,38 @@ def exact_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY,
 
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible by query_every, candidates every
     row but those with the query's own id. Vectors that are null or hold null or non-finite components, and rows with a
-    null id, take no part; neither do pairs of different length. Rows that repeat an id are one candidate each and one
-    query: the smaller vector of the repeated ones. Empty vectors score 0. Empty tables give an empty result.
+    null id, take no part; neither do pairs of different length. Rows that repeat an id are one candidate each, and the
+    queries among them share one list of the k best pairs. Empty vectors score 0. Empty tables give an empty result.
     """
     spark = prepare(vectors.sparkSession)
     x = F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double"))
     fine = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     rows = only(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null").where(fine)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    n = rows.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // (query_every * BLOCK_ROWS)))
-    shard = F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int")
-    candidates = cut(rows.withColumn("shard", shard))
-    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("x").alias("q"))
-    queries = queries.select(F.col("vec_id").alias("query_id"), "q")
-    queries = cut(queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")))
-    low = F.lit(float("-inf"))
-
-    def meet(q: DataFrame) -> DataFrame:
-        # Each shard's candidates meet each block of queries: the candidates are repeated by blocks, the queries by shards.
-        c = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return q.groupBy("shard", "block"), c.groupBy("shard", "block")
-
-    home = queries.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).withColumn("floor", low)
-    q, c = meet(home)
-    first = cut(c.cogroup(q).applyInPandas(_search(k), _HITS))
-    full = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
-    shared = queries.join(full, "query_id", "left").withColumn(
-        "floor", F.when(F.col("n") >= k, F.col("s")).otherwise(low)
-    )
-    rest = shared.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(
-        F.col("shard") != F.pmod(F.col("block"), F.lit(shards))
-    )
-    q, c = meet(rest.select("query_id", "q", "block", "floor", "shard"))
-    hits = first.unionByName(c.cogroup(q).applyInPandas(_search(k), _HITS))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), x.alias("x"))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    # Rows that repeat in full are spread like others; the checkpoint makes the deal final.
+    dealt = cut(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")))
+    queries = dealt.where(F.col("id") % query_every == 0).select("id", "x")
+    # The first shard is every query's home: about SHARD_ROWS vectors, which all executors get.
+    home = dealt.where("shard = 0").select("id", "x").toArrow()
+    trees = spark.sparkContext.broadcast(_trees(home.column("id").combine_chunks(), home.column("x").combine_chunks()) if len(home) else {})
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _hits(trees.value, b.column(0), b.column(1), pa.array(np.full(len(b), -np.inf)), k)
+
+    first = cut(queries.mapInArrow(at_home, _HITS))
+    if shards > 1:
+        full = first.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+        floor = F.when(F.col("n") >= k, F.element_at("s", k)).otherwise(F.lit(float("-inf")))
+        asked = queries.join(full, F.col("id") == F.col("query_id"), "left").select("id", "x", floor.alias("floor"))
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+        both = dealt.where("shard > 0").select("shard", F.lit(False).alias("query"), "id", "x", F.lit(0.0).alias("floor")).unionByName(
+            asked.select("shard", F.lit(True).alias("query"), "id", "x", "floor"))
+        met = both.repartition("shard").sortWithinPartitions("shard", "query")
+        first = first.unionByName(met.mapInArrow(_search(k), _HITS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = hits.select(F.col("query_id"), F.col("vec_id"), F.col("score"))
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", F.col("score").cast("long").alias("score")
     )
 
