@@ -13,7 +13,8 @@ are one class. Classes link at a similarity of at least `t`:
    there. Only classes with a partner stay. A token whose counter says that it is hot is split into blocks of classes,
    and each pair of blocks is a cell of its own.
 4. Those classes get their token sets, and each token's group is verified exactly, as products of 0/1 matrices, in pairs
-   of blocks of bounded size. A pair counts where its first common prefix token is, so it counts once.
+   of blocks of bounded size. A pair counts where its first common prefix token is, so it counts once; of groups with the
+   same members, only the first can have such pairs and is verified.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, cut, mix, scratch_path, shuffle_partitions, text_chunks, words
+from .components import connected_components
 
 #: Bits that number the counters at least and at most; a counter has four bytes in a task and one when broadcast.
 COUNTER_BITS = (20, 22)
@@ -40,6 +42,8 @@ PARTS = 16
 HELD = 1 << 20
 #: Entries of a verification matrix at most; wider ones are multiplied in slices.
 ENTRIES = 1 << 24
+#: Classes of a component of candidates that are verified together when only links are asked for.
+TOGETHER = 256
 #: Groups up to this size are compared as sets, pair by pair, with the same results.
 SMALL = 8
 _HASH_BITS = 56
@@ -281,12 +285,12 @@ def with_partner(token, n, key, pos, parity, more, before, side, t: float) -> np
         step += 1
 
 
-_ACTIVE = "token long, key long, part long, block int"
+_ACTIVE = "token long, key long, part long, block int, members long"
 
 
 def _active_part(x: np.ndarray, t: float) -> pa.RecordBatch | None:
-    """(token, key, part, block) of the classes of one part that have a possible partner; part numbers the pair of
-    blocks of a large group within its cell."""
+    """(token, key, part, block, members) of the classes of one part that have a possible partner; part numbers the pair
+    of blocks of a large group within its cell, members is a hash of who is in it."""
     order = np.argsort(x["token"])
     token = x["token"][order]
     same = token[1:] == token[:-1]
@@ -318,9 +322,12 @@ def _active_part(x: np.ndarray, t: float) -> pa.RecordBatch | None:
     # Within a cell of two blocks the sides tell what may pair; else the blocks of a part do, where it has two.
     two = count[row] > 1
     tag = np.where(two, mine[row] + 1, 0) * 4 + side[row]
+    _, at = np.unique(mix(group[row] ^ mix(part.view(np.uint64) + np.uint64(1))), return_inverse=True)
+    members = np.zeros(int(at.max()) + 1, np.uint64)
+    np.add.at(members, at, mix(x["key"][row] ^ mix(tag.astype(np.uint64) + np.uint64(2))))
     return pa.RecordBatch.from_arrays(
-        [pa.array(x["token"][row].view(np.int64)), pa.array(x["key"][row].view(np.int64)), pa.array(part), pa.array(tag, pa.int32())],
-        ["token", "key", "part", "block"])
+        [pa.array(x["token"][row].view(np.int64)), pa.array(x["key"][row].view(np.int64)), pa.array(part), pa.array(tag, pa.int32()),
+         pa.array(members[at].view(np.int64))], ["token", "key", "part", "block", "members"])
 
 
 def _active(postings: DataFrame, t: float) -> DataFrame:
@@ -517,14 +524,35 @@ def verified_links(groups: DataFrame, t: float) -> DataFrame:
     return groups.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "u long, v long").distinct()
 
 
-def candidate_groups(rows: DataFrame, tiles: DataFrame, bits: int, t: float, shingle: int = 0) -> DataFrame:
-    """Rows (text, ...) and their counters -> (token, part, block, key, tokens): the groups to verify."""
+def _by_component(active: DataFrame) -> DataFrame:
+    """Groups that share members put together, where they stay small: each class then travels once, not once a token.
+
+    A component of more than TOGETHER classes keeps its tokens' groups. All candidate pairs stay within a group."""
+    hubs = active.groupBy("token", "part").agg(F.min("key").alias("hub"))
+    comp = cut(connected_components(active.join(hubs, ["token", "part"]).select(F.col("key").alias("u"), F.col("hub").alias("v"))))
+    small = comp.groupBy("component").count().where(F.col("count") <= TOGETHER).select("component")
+    together = comp.join(small, "component").select(
+        F.col("component").alias("token"), F.col("node").alias("key"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("block"))
+    large = comp.join(small, "component", "left_anti").select(F.col("node").alias("key"))
+    return cut(together.unionByName(active.join(large, "key", "left_semi").select("token", "key", "part", "block")))
+
+
+def candidate_groups(rows: DataFrame, tiles: DataFrame, bits: int, t: float, shingle: int = 0, links_only: bool = False) -> DataFrame:
+    """Rows (text, ...) and their counters -> (token, part, block, key, tokens): the groups to verify.
+
+    With links_only, a pair may be in any group, in several or in one; else it is where its first common token is."""
     spark = rows.sparkSession
     table, total = frequencies(tiles, bits)
     frequency = spark.sparkContext.broadcast(table)
     waiting = (total * (1 - t) + 1) * _POSTING.itemsize
     parts = PARTS * max(shuffle_partitions(spark), int(waiting / (PARTS * (16 << 20))))
     active = cut(_active(_postings(rows, frequency, t, shingle, parts), t))
+    # Groups with the same members have the same pairs, and those count at the first token: the others are not needed.
+    place = F.struct(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), "part")  # tokens are unsigned
+    first = active.groupBy("members").agg(F.min(place).alias("first"))
+    active = cut(active.join(first, "members").where(place == F.col("first")).select("token", "key", "part", "block"))
+    if links_only:
+        active = _by_component(active)
     wanted = spark.sparkContext.broadcast(_key_filter(active.select("key").distinct()))
     sets = _sets(rows, frequency, wanted, shingle).withColumnRenamed("key", "k")
     return active.join(sets, F.col("key") == F.col("k")).select("token", "part", "block", "key", "tokens")
