@@ -37,11 +37,6 @@ def canonical_value(identifier: Column) -> Column:
     return F.translate(F.regexp_replace(identifier, "^[^:]*:", ""), "_", " ")
 
 
-def tokens(value: Column) -> Column:
-    """Words with inner apostrophes kept."""
-    return F.regexp_extract_all(F.lower(value), F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"), F.lit(1))
-
-
 def words(value: Column) -> Column:
     return F.filter(F.split(normalize_text(value), " "), lambda x: x != "")
 
@@ -73,8 +68,9 @@ def weighted_ngrams(value: Column) -> Column:
 
 
 def distinct_values(array: Column) -> Column:
-    """Normalised values, first occurrences in order, blanks dropped."""
-    return F.array_distinct(F.filter(F.transform(array, normalize_text), lambda x: x != ""))
+    """Normalised values, first occurrences in order, blanks dropped; a null list is empty."""
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.transform(F.coalesce(array, empty), normalize_text), lambda x: x != ""))
 
 
 def snake_case(value: Column) -> Column:
@@ -147,3 +143,24 @@ def product_card(title: Column, **attributes: Column) -> Column:
 def lenient_json(value: Column, schema: str) -> Column:
     """The object between the first { and the last } of a model's reply."""
     return F.from_json(F.regexp_extract(value, r"(?s)(\{.*\})", 1), schema)
+
+
+def clean_tags(tags: Column) -> Column:
+    """Lower case, trimmed, first occurrences; a tag without a word is dropped."""
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(F.lower(t))), lambda t: t.rlike(r"[\p{L}\p{N}]")))
+
+
+def lines_card(title: Column, **attributes: Column) -> Column:
+    """`attribute: a, b` a line, the title last, empty parts left out."""
+    parts = [F.when(F.size(v) > 0, F.concat(F.lit(f"{k}: "), F.array_join(v, ", "))) for k, v in attributes.items()]
+    return F.concat_ws("\n", *parts, F.when(title != "", F.concat(F.lit("title: "), title)))
+
+
+def instructed(query: Column, instruction: str) -> Column:
+    """A query as an instruction-tuned encoder wants it."""
+    return F.concat(F.lit(f"Instruct: {instruction}\nQuery:"), query)
+
+
+def changed_fields(before: Column, after: Column) -> Column:
+    """Of two maps of text, the entries of the second that the first has not or has otherwise."""
+    return F.map_filter(after, lambda k, v: ~F.coalesce(F.try_element_at(before, k).eqNullSafe(v), F.lit(False)))

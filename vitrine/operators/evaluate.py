@@ -10,8 +10,11 @@ from .facets import MAX_TURNS, MISS_TURN, utility
 
 
 def session_results(turns: DataFrame, *keep: str) -> DataFrame:
-    """(session, turn, hit, rank) -> (session, hit, first_turn, best_rank): a hit counts from the session's override turn on."""
+    """(session, turn, hit, rank) -> (session, hit, first_turn, best_rank): a hit counts from the
+    session's `override_turn` on, where there is such a column."""
     ok = F.col("hit") & (F.col("turn") <= MAX_TURNS)
+    if "override_turn" in turns.columns:
+        ok = ok & (F.col("turn") >= F.coalesce("override_turn", F.lit(1)))
     return turns.groupBy("session", *keep).agg(
         F.max(F.coalesce(ok, F.lit(False))).alias("hit"),
         F.min(F.when(ok, F.col("turn"))).alias("first_turn"),

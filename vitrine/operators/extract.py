@@ -50,14 +50,16 @@ def sizes(rows: DataFrame, key: str, message: str) -> DataFrame:
     return rows.select(key, message).mapInPandas(run, f"key {rows.schema[key].dataType.simpleString()}, kind string, value string, start int, end int")
 
 
-def phrase_spans(rows: DataFrame, key: str, message: str, phrases: DataFrame, longest: int = 3) -> DataFrame:
+def phrase_spans(rows: DataFrame, key: str, message: str, phrases: DataFrame) -> DataFrame:
     """(key, start, n, phrase, attribute): dictionary phrases in a message's tokens, longest first, then leftmost.
 
-    n-grams of the message meet the dictionary by an equality join; a message's few spans are then chosen among."""
+    n-grams of the lengths that the dictionary has meet it by an equality join; a message's few spans are then chosen among."""
+    phrases = phrases.select(F.col("normalized").alias("phrase"), "attribute")
+    lengths = phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct()
     toks = rows.select(F.col(key).alias("key"), F.split(normalize_text(F.col(message)), " ").alias("t"))
-    grams = toks.select("key", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"), "t").where("size(t) >= n").select(
+    grams = toks.crossJoin(lengths).where("size(t) >= n").select(
         "key", "n", F.posexplode(F.expr("transform(sequence(1, size(t) - n + 1), i -> array_join(slice(t, i, n), ' '))")).alias("start", "phrase"))
-    spans = grams.join(phrases.select(F.col("normalized").alias("phrase"), "attribute"), "phrase")
+    spans = grams.join(phrases, "phrase")
     order = F.sort_array(F.collect_set(F.struct((-F.col("n")).alias("m"), "start", "phrase", "attribute")))
     chosen = F.expr(
         "aggregate(s, cast(array() as array<struct<m:int,start:int,phrase:string,attribute:string>>), (a, x) -> "

@@ -19,6 +19,13 @@ def eligible(products: DataFrame, price_min: float | None = None, price_max: flo
     return rows if excluded is None else rows.join(excluded.select("asin"), "asin", "left_anti")
 
 
+def eligible_counts(sessions: DataFrame, shown: DataFrame, products: DataFrame) -> DataFrame:
+    """(session) and shown (session, asin) -> session, eligible: products that a session has not been shown yet."""
+    seen = shown.distinct().join(products.select("asin"), "asin", "left_semi").groupBy("session").agg(F.count("*").alias("seen"))
+    total = products.agg(F.count("*").alias("total"))
+    return sessions.join(seen, "session", "left").crossJoin(total).select("session", (F.col("total") - F.coalesce("seen", F.lit(0))).alias("eligible"))
+
+
 def top_k(rows: DataFrame, score: Column, k: int) -> DataFrame:
     """The k best by score, then catalog order; score and order end in TakeOrderedAndProject."""
     return rows.withColumn("score", score).orderBy(F.desc("score"), "asin").limit(k)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -192,9 +191,9 @@ def q_semantic_ngrams(spark, d):
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query(r"SELECT doc_id, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, list_distinct(t) AS u, t FROM (SELECT doc_id, (list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] ELSE '' END), lambda x: x <> ''))[1:40] AS t FROM (SELECT doc_id, (list_filter(string_split_regex(lower(source || ' ' || lang || ' ' || substr(text, 1, 60)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents)))")
+@query(r"SELECT doc_id, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, list_distinct(t) AS u, t FROM (SELECT doc_id, (list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] ELSE '' END), lambda x: x <> ''))[1:40] AS t FROM (SELECT doc_id, (list_filter(string_split_regex(lower(source || ' ' || lang || ' ' || text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents)))")
 def q_query_terms(spark, d):
-    v = F.concat_ws(" ", "source", "lang", F.substring("text", 1, 60))
+    v = F.concat_ws(" ", "source", "lang", "text")
     t = table(spark, d, "documents").select("doc_id", T.query_terms(v).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
@@ -283,13 +282,16 @@ def q_backfill_topk(spark, d):
     return retrieve.fill_to_k(a, b, 10).select("asin", "src")
 
 
-@query(f"WITH {TURNS}, g AS (SELECT *, sum(override::INT) OVER (PARTITION BY session ORDER BY turn) AS segment FROM turns), seen AS (SELECT session, segment, event_id % 2000 + 1 AS asin, min(turn) AS first FROM g GROUP BY ALL), {PRODUCTS} SELECT session, count(*) AS eligible FROM (SELECT DISTINCT session FROM g) s, products p WHERE session < 20 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.session = s.session AND seen.asin = p.asin AND segment = (SELECT max(segment) FROM g WHERE g.session = s.session)) GROUP BY session")
+@query(f"""WITH {TURNS}, {PRODUCTS}, g AS (SELECT *, sum(override::INT) OVER (PARTITION BY session ORDER BY turn) AS segment FROM turns),
+l AS (SELECT session, max(segment) AS segment FROM g GROUP BY session),
+shown AS (SELECT DISTINCT session, event_id % 2000 + 1 AS asin FROM g JOIN l USING (session, segment)),
+n AS (SELECT session, count(*) AS n FROM shown WHERE asin IN (SELECT asin FROM products) GROUP BY session)
+SELECT session, (SELECT count(*) FROM products) - coalesce(n, 0) AS eligible FROM l LEFT JOIN n USING (session)""")
 def q_exclusion_antijoin(spark, d):
-    g = session.goal_segments(turns(spark, d)).where("session < 20")
-    last = g.groupBy("session").agg(F.max("segment").alias("last"))
-    shown = g.join(last, "session").where("segment = last").select("session", (F.col("event_id") % 2000 + 1).alias("asin")).distinct()
-    every = last.select("session").crossJoin(products(spark, d).select("asin"))
-    return every.join(shown, ["session", "asin"], "left_anti").groupBy("session").agg(F.count("*").alias("eligible"))
+    g = session.goal_segments(turns(spark, d))
+    last = g.groupBy("session").agg(F.max("segment").alias("segment"))
+    shown = g.join(last, ["session", "segment"]).select("session", (F.col("event_id") % 2000 + 1).alias("asin"))
+    return retrieve.eligible_counts(last.select("session"), shown, products(spark, d))
 
 
 # ---- facets and clarification ----------------------------------------------------------------------------------
@@ -426,16 +428,23 @@ def q_goal_segments(spark, d):
 
 
 def _ledger_sql() -> str:
-    hit = {n: f"regexp_matches(t, '{p}')" for n, _, _, p in routing.SIGNALS}
-    hard = " OR ".join(hit[x] for x in routing.HARD)
-    buying = " OR ".join(hit[n] for n, s, _, _ in routing.SIGNALS if s > 0 and n != "request")
-    hit["request"] = f"({hit['request']} AND ({buying}))"
-    for x in routing.SOFT:
-        hit[x] = f"({hit[x]} AND NOT ({hard}))"
-    side = lambda k: " + ".join(f"{w} * ({hit[n]})::INT" for n, s, w, _ in routing.SIGNALS if s == k)
-    return f"""WITH c AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), m AS (SELECT conv_id, turn, 0.35 + 1.25 * ({side(1)}) - 1.15 * ({side(-1)}) AS margin FROM c),
+    says = lambda x: f"regexp_matches(t, '{x.regex.replace(chr(39), chr(39) * 2)}')" if x.patterns else "false"
+    hit = {x.name: says(x) for x in routing.SIGNALS}
+    hard = " OR ".join(hit[x.name] for x in routing.SIGNALS if x.hard)
+    buying = " OR ".join(hit[x.name] for x in routing.SIGNALS if x.side > 0 and not x.needs_buying)
+    for x in routing.SIGNALS:
+        if x.needs_buying:
+            hit[x.name] = f"({hit[x.name]} AND ({buying}))"
+        if x.yields_to_hard:
+            hit[x.name] = f"({hit[x.name]} AND NOT ({hard}))"
+    side = lambda k: " + ".join(f"{x.weight} * ({hit[x.name]})::INT" for x in routing.SIGNALS if x.side == k)
+    filler = ", ".join(f"'{w}'" for w in routing.FILLER)
+    return f"""WITH c AS (SELECT conv_id, turn, lower(text) AS t FROM conversations),
+m AS (SELECT conv_id, turn, len(list_filter(regexp_extract_all(t, '[a-z0-9'']+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g') NOT IN ({filler}))) = 0 AS empty,
+  0.35 + 1.25 * ({side(1)}) - 1.15 * ({side(-1)}) AS margin FROM c),
 p AS (SELECT *, greatest(0.5, least(0.99, 1 / (1 + exp(-1.6 * abs(margin))))) AS confidence FROM m)
-SELECT conv_id, turn, CAST(round(margin, 6) AS DOUBLE) AS margin, round(confidence, 6) AS confidence, CASE WHEN margin < 0 OR confidence < 0.7 THEN 'BROWSING' ELSE 'BUYING' END AS intent FROM p"""
+SELECT conv_id, turn, CAST(round(CASE WHEN empty THEN 0 ELSE margin END, 6) AS DOUBLE) AS margin, CAST(round(CASE WHEN empty THEN 0.55 ELSE confidence END, 6) AS DOUBLE) AS confidence,
+  CASE WHEN empty OR margin < 0 THEN 'BROWSING' ELSE 'BUYING' END AS intent FROM p"""
 
 
 @query(_ledger_sql())
@@ -536,7 +545,3 @@ def q_price_parsers(spark, d):
     rows = _rows(spark, "key int, v string", (1, "12.99"), (2, "-"), (3, "1,299.99"), (4, "from $20"), (5, "-3"))
     loose = F.when(F.col("key") == 5, F.lit(None).cast("double")).otherwise(T.first_number_price(F.col("v")))
     return rows.select("key", loose.alias("loose"), T.strict_price(F.col("v")).alias("strict"))
-
-
-def session_payload(**turn) -> str:
-    return json.dumps(turn)
