@@ -39,9 +39,9 @@ HOT, BLOCK = 8192, 1024
 #: Parts of the token space for each shuffle partition; a task holds the postings of one part at a time.
 PARTS = 16
 #: Postings that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Entries of a verification matrix at most; wider ones are multiplied in slices.
-ENTRIES = 1 << 24
+ENTRIES = 1 << 22
 #: Classes of a component of candidates that are verified together when only links are asked for.
 TOGETHER = 256
 #: Groups up to this size are compared as sets, pair by pair, with the same results.
