@@ -29,10 +29,6 @@ SQL_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 SQL_NOT = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in NEGATIONS) + "]"
 
 
-def _words(values: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(x) for x in values])
-
-
 def tokens(value: Column) -> Column:
     """Words in lower case; an apostrophe of any kind inside a word stays, as '."""
     x = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[’ʼ＇]", "'")
@@ -41,10 +37,10 @@ def tokens(value: Column) -> Column:
 
 def query_tokens(value: Column, more: tuple[str, ...] = ()) -> Column:
     """Tokens without stop words; a negative contraction is "not"; other apostrophes go as in surface normalisation."""
-    stop = _words(STOPWORDS + more)
-    kept = F.filter(tokens(value), lambda t: F.array_contains(_words(NEGATIONS), t) | ~F.array_contains(stop, t))
-    plain = F.transform(kept, lambda t: F.when(F.array_contains(_words(NEGATIONS), t), F.lit("not")).otherwise(normalize_text(t)))
-    return F.filter(plain, lambda t: (t == "not") | ((t != "") & ~F.array_contains(stop, t)))
+    stop = STOPWORDS + more
+    kept = F.filter(tokens(value), lambda t: t.isin(*NEGATIONS) | ~t.isin(*stop))
+    plain = F.transform(kept, lambda t: F.when(t.isin(*NEGATIONS), F.lit("not")).otherwise(normalize_text(t)))
+    return F.filter(plain, lambda t: (t == "not") | ((t != "") & ~t.isin(*stop)))
 
 
 def query_ngrams(value: Column, most: int = 3) -> Column:

@@ -26,7 +26,8 @@ def q_semantic_cleanup(spark, d):
   list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])))) AS gram FROM clean)
 SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 5""")
 def q_semantic_query_ngrams(spark, d):
-    grams = table(spark, d, "conversations").select("conv_id", "turn", F.explode(S.query_ngrams(F.col("text"))).alias("gram"))
+    toks = table(spark, d, "conversations").select("conv_id", "turn", S.query_tokens(F.col("text")).alias("t"))
+    grams = toks.select("conv_id", "turn", F.explode(T.all_ngrams(F.col("t"))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
 
 
