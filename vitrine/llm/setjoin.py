@@ -347,8 +347,14 @@ def _active(postings: DataFrame, t: float) -> DataFrame:
     return postings.repartition("part").sortWithinPartitions("part").mapInArrow(run, _ACTIVE)
 
 
-def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap that holds every key; its size follows their number, within FILTER_BITS."""
+def in_filter(have: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a bitmap may hold each key; it has no false misses."""
+    slot = key & np.uint64(64 * len(have) - 1)
+    return (have[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap that holds every `key` (long); its size follows their number, within FILTER_BITS."""
     n = keys.count()
     bits = min(max((8 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
@@ -364,13 +370,10 @@ def _sets(rows: DataFrame, frequency, bits, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, have = frequency.value, bits.value
-        mask = np.uint64(64 * len(have) - 1)
         for b in batches:
             for chunk in text_chunks(b.column(0)):
                 x = Units(chunk, shingle, table)
-                slot = x.key & mask
-                hit = (have[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                pick = np.flatnonzero(hit)
+                pick = np.flatnonzero(in_filter(have, x.key))
                 if not len(pick):
                     continue
                 _, one = np.unique(x.key[pick], return_index=True)
@@ -553,6 +556,6 @@ def candidate_groups(rows: DataFrame, tiles: DataFrame, bits: int, t: float, shi
     active = cut(active.join(first, "members").where(place == F.col("first")).select("token", "key", "part", "block"))
     if links_only:
         active = _by_component(active)
-    wanted = spark.sparkContext.broadcast(_key_filter(active.select("key").distinct()))
+    wanted = spark.sparkContext.broadcast(key_filter(active.select("key").distinct()))
     sets = _sets(rows, frequency, wanted, shingle).withColumnRenamed("key", "k")
     return active.join(sets, F.col("key") == F.col("k")).select("token", "part", "block", "key", "tokens")
