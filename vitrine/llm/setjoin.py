@@ -179,12 +179,20 @@ def frequencies(tiles: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return rarity_class(flat.astype(np.int64), background), int(flat.sum(dtype=np.int64))
 
 
-def _parity(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits, in two words: how often, modulo 2, a unit's tokens hash to each."""
+def telling(n: np.ndarray, t: float) -> np.ndarray:
+    """Whether units of n tokens are small enough for parity words to tell them apart: unrelated units differ in about 64
+    of 128 bits, units that link in at most as many as their symmetric difference allows."""
+    return 2 * n * (1 - t) < 64 * (1 + t)
+
+
+def _parity(x: Units, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, in two words: how often, modulo 2, a unit's tokens hash to each; zeros, which pack away, for large units."""
+    tokens, begin, small = x.tokens, x.at[:-1], telling(x.n, t)
     bit = np.uint64(1) << ((tokens >> np.uint64(40)) & np.uint64(63))
     high = (tokens >> np.uint64(46)) & np.uint64(1) == 1
     zero = np.uint64(0)
-    return np.bitwise_xor.reduceat(np.where(high, zero, bit), begin), np.bitwise_xor.reduceat(np.where(high, bit, zero), begin)
+    words_ = np.where(high, zero, bit), np.where(high, bit, zero)
+    return tuple(np.where(small, np.bitwise_xor.reduceat(w, begin), zero) for w in words_)
 
 
 #: `low` and `high` are the last 48 bits of the unit's token before, and 0 for its first.
@@ -236,7 +244,7 @@ def _postings(rows: DataFrame, frequency, t: float, shingle: int, parts: int) ->
                 if not len(x.n):
                     continue
                 _, one = np.unique(x.key, return_index=True)  # a class that repeats here needs one posting
-                parity = _parity(x.tokens, x.at[:-1])
+                parity = _parity(x, t)
                 size = prefix_sizes(x.n[one], t)
                 unit = np.repeat(one, size)
                 pos = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
@@ -264,7 +272,7 @@ def with_partner(token, n, key, pos, parity, more, before, side, t: float) -> np
     """Rows that pass the filters with another row of their token. Rows are sorted by (token, n, key); `before` is their
     token before or 0, and `side` is 0, or 1 and 2 in a cell of two blocks, where only pairs across them count."""
     n, pos = n.astype(np.int64), pos.astype(np.int64)
-    active = np.zeros(len(token), bool)
+    active, small = np.zeros(len(token), bool), telling(n, t)
     i = np.arange(len(token) - 1)
     step = 1
     while True:
@@ -277,7 +285,7 @@ def with_partner(token, n, key, pos, parity, more, before, side, t: float) -> np
         need = needed_overlap(n[i], n[j], t)
         ok = (key[i] != key[j]) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need)
         far = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
-        ok &= far <= n[i] + n[j] - 2 * need
+        ok &= (far <= n[i] + n[j] - 2 * need) | ~small[i] | ~small[j]
         ok &= (before[i] == 0) | (before[i] != before[j])
         ok &= (side[i] == 0) | (side[i] != side[j])
         active[i[ok]] = True
