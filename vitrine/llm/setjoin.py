@@ -9,8 +9,8 @@ are one class. Classes link at a similarity of at least `t`:
    parity words). Two classes that link share a prefix token. Postings travel packed, in runs for each of many parts of
    the token space.
 3. Within a token, pairs are tested by length, by position (the tokens left must allow the overlap) and by the parity
-   words (their Hamming distance is at most the symmetric difference); pairs that share the token before as well meet
-   there. Only classes with a partner stay. A token whose counter says that it is hot is split into blocks of classes,
+   words (their Hamming distance is at most the symmetric difference; units too large for them have none and pass);
+   pairs that share the token before as well meet there. Only classes with a partner stay. A token whose counter says that it is hot is split into blocks of classes,
    and each pair of blocks is a cell of its own.
 4. Those classes get their token sets, and each token's group is verified exactly, as products of 0/1 matrices, in pairs
    of blocks of bounded size. A pair counts where its first common prefix token is, so it counts once; of groups with the
