@@ -84,8 +84,8 @@ def promotion_stats(turns: DataFrame) -> DataFrame:
 
 
 def session_values(turns: DataFrame) -> DataFrame:
-    """Per session: the value of stopping at the first hit, and the best value in hindsight."""
-    v = F.when(F.col("hit") & (F.col("turn") <= MAX_TURNS), utility(F.col("turn"), F.col("rank")))
+    """Per session: the value of stopping at the first hit, and the best value in hindsight; a hit without a rank has none."""
+    v = F.when(F.col("hit") & (F.col("turn") <= MAX_TURNS) & F.col("rank").isNotNull(), utility(F.col("turn"), F.col("rank")))
     return turns.withColumn("v", v).groupBy("session").agg(
         F.coalesce(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("turn"))), F.lit(0.0)).alias("greedy"),
         F.coalesce(F.max("v"), F.lit(0.0)).alias("oracle"))

@@ -15,8 +15,10 @@ PRIOR_CEILING, SPLIT_FLOOR, BROAD_POOL = 0.90, 0.035, 50
 
 
 def utility(turn: Column, rank: Column) -> Column:
-    """Session value of a hit: .5 + .3 / rank + .2 (11 - turn) / 10; a miss is 0."""
-    return F.when(rank.isNull(), 0.0).otherwise(0.5 + 0.3 / rank + 0.2 * (MISS_TURN - turn) / 10)
+    """Session value of a hit: .5 + .3 / rank + .2 (11 - turn) / 10; a miss is 0.
+
+    .2 (11 - turn) is rounded once, as SQL's decimals are, so that ties are the same there and here."""
+    return F.when(rank.isNull(), 0.0).otherwise(0.5 + 0.3 / rank + 2 * (MISS_TURN - turn) / 10 / 10)
 
 
 def promotion_threshold(turn: Column, rank: Column) -> Column:

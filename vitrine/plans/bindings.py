@@ -31,7 +31,7 @@ LONG = "long AS (" + " UNION ALL ".join(f"SELECT asin, '{a}' AS attribute, {a} A
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    order = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return e.select(
         F.col("user_id").alias("session"), F.row_number().over(order).alias("turn"), (F.col("event_type") == "purchase").alias("hit"),
         (F.col("event_id") % 10 + 1).cast("int").alias("rank"), (F.col("event_type") == "signup").alias("override"), F.col("value").alias("latency"),
