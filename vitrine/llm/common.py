@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,6 +89,26 @@ def restored(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`column {k}`") for k in range(len(like.columns))]).toDF(*like.columns)
 
 
+def trim() -> None:
+    """Gives this worker's free memory back; else a reused worker keeps what its largest task held."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if release:
+        release(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, and its memory given back at the end of each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def keep_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, whose text `keep` finds good: one pass, without a join."""
     prepare(docs.sparkSession)
@@ -98,7 +119,7 @@ def keep_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataF
         for b in batches:
             yield b.filter(pa.array(keep(b.column(k)), pa.bool_()))
 
-    return restored(plain.mapInArrow(run, plain.schema), docs)
+    return restored(plain.mapInArrow(trimmed(run), plain.schema), docs)
 
 
 def uniform(*columns: Column) -> Column:

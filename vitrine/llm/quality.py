@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, keep_texts, only, prepare, text_chunks, words
+from .common import cut, fold_of, keep_texts, only, prepare, text_chunks, trimmed, words
 
 SHRINK = 0.15
 POOL = 0.10
@@ -77,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), flat], ["doc_id", "x"])
 
     prepare(docs.sparkSession)
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, x array<double>")
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(trimmed(run), "doc_id long, x array<double>")
 
 
 def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -95,7 +95,7 @@ def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(k.ravel(), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(sums.ravel())], ["k", "i", "v"])
 
     out = np.zeros((2, 1 + D + D * D))
-    for r in rows.select("x", "label", "weight").mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
+    for r in rows.select("x", "label", "weight").mapInArrow(trimmed(run), "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         out[r["k"], r["i"]] = r["v"]
     return {k: (out[k, 0], out[k, 1 : 1 + D], out[k, 1 + D :].reshape(D, D)) for k in (0, 1)}
 
@@ -158,7 +158,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array(b.column(1).flatten()).reshape(-1, D)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
-    return feats.mapInArrow(run, "doc_id long, score double").select(
+    return feats.mapInArrow(trimmed(run), "doc_id long, score double").select(
         "doc_id", (fold_of(F.col("doc_id"), FOLD) == HELD).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, cut, mix, scratch_path, shuffle_partitions, text_chunks, words
+from .common import Texts, cut, mix, scratch_path, shuffle_partitions, text_chunks, trimmed, words
 from .components import connected_components
 
 #: Bits that number the counters at least and at most; a counter has four bytes in a task and one when broadcast.
@@ -39,7 +39,7 @@ HOT, BLOCK = 8192, 1024
 #: Parts of the token space for each shuffle partition; a task holds the postings of one part at a time.
 PARTS = 16
 #: Postings that a task holds before it sends them on.
-HELD = 1 << 18
+HELD = 1 << 17
 #: Entries of a verification matrix at most; wider ones are multiplied in slices.
 ENTRIES = 1 << 22
 #: Classes of a component of candidates that are verified together when only links are asked for.
@@ -153,7 +153,7 @@ def scan_units(rows: DataFrame, shingle: int = 0) -> tuple[DataFrame, DataFrame,
             yield out(len(some), tile=pa.array(np.arange(s, s + len(some))), n=pa.array([x.tobytes() for x in some], pa.binary()))
 
     path = scratch_path(spark, "units")
-    rows.select("doc_id", "th", "text").mapInArrow(run, _SCAN).write.option("compression", "zstd").parquet(path)
+    rows.select("doc_id", "th", "text").mapInArrow(trimmed(run), _SCAN).write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(_SCAN).parquet(path)
     return found.where("tile is null").select("doc_id", "th", "line", "key"), found.where("tile is not null").select("tile", "n"), bits
 
@@ -265,7 +265,7 @@ def _postings(rows: DataFrame, frequency, t: float, shingle: int, parts: int) ->
         if count:
             yield out()
 
-    return rows.select("text").mapInArrow(run, "part int, postings binary")
+    return rows.select("text").mapInArrow(trimmed(run), "part int, postings binary")
 
 
 def with_partner(token, n, key, pos, parity, more, before, side, t: float) -> np.ndarray:
@@ -352,7 +352,7 @@ def _active(postings: DataFrame, t: float) -> DataFrame:
         if held and (out := _active_part(np.concatenate(held), t)) is not None:
             yield out
 
-    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(run, _ACTIVE)
+    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), _ACTIVE)
 
 
 def in_filter(have: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -391,7 +391,7 @@ def _sets(rows: DataFrame, frequency, bits, shingle: int) -> DataFrame:
                     [pa.array(x.key[pick].view(np.int64)),
                      pa.array([raw[8 * x.at[k] : 8 * x.at[k + 1]] for k in pick.tolist()], pa.binary())], ["key", "tokens"])
 
-    return rows.select("text").mapInArrow(run, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    return rows.select("text").mapInArrow(trimmed(run), "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def may_pair(tag: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -517,7 +517,7 @@ def verified_counts(groups: DataFrame, t: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i in k], pa.int64()), pa.array(links[k]), pa.array(earlier[k])], ["key", "links", "earlier"])
 
     spread = groups.repartition("token", "part").sortWithinPartitions("token", "part")
-    found = spread.mapInArrow(run, "key long, links long, earlier boolean")
+    found = spread.mapInArrow(trimmed(run), "key long, links long, earlier boolean")
     return found.groupBy("key").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
 
@@ -532,7 +532,7 @@ def verified_links(groups: DataFrame, t: float) -> DataFrame:
                 key = np.array([r[3] for r in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(key[u]), pa.array(key[v])], ["u", "v"])
 
-    return groups.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "u long, v long").distinct()
+    return groups.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def _by_component(active: DataFrame) -> DataFrame:

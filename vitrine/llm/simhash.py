@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, numbered, only, prepare, restored, shuffle_partitions
+from .common import cut, numbered, only, prepare, restored, shuffle_partitions, trimmed
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
 
     prepare(docs.sparkSession)
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-        run, "doc_id long, fp long"
+        trimmed(run), "doc_id long, fp long"
     )
 
 
@@ -174,7 +174,7 @@ def _links(keys: DataFrame, max_bits: int) -> DataFrame:
             yield edges(rest)
 
     spread = keys.repartition("key").sortWithinPartitions("key", "probe")
-    return spread.mapInArrow(run, "u long, v long")
+    return spread.mapInArrow(trimmed(run), "u long, v long")
 
 
 def near_duplicate_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Spans, Texts, by_byte, only, pieces, prepare, scratch_path, text_chunks, word_spans
+from .common import SPACE, Spans, Texts, by_byte, only, pieces, prepare, scratch_path, text_chunks, trimmed, word_spans
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -424,7 +424,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     from tokenizers import Tokenizer
 
     vocabulary = max(Tokenizer.from_file(where).get_vocab_size(), end_id + 1)
-    sorted_.mapInArrow(write, "part int, shard int, docs long, tokens long, payload binary").write.mode("overwrite").parquet(path)
+    sorted_.mapInArrow(trimmed(write), "part int, shard int, docs long, tokens long, payload binary").write.mode("overwrite").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -436,7 +436,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     outer = sizes.groupBy("part").agg(F.sum("tokens").alias("all"))
     outer = outer.select("part", (F.sum("all").over(Window.partitionBy().orderBy("part")) - F.col("all")).alias("outer"))
     starts = inner.join(outer, "part").select("part", "shard", (F.col("inner") + F.col("outer")).alias("start"))
-    shards = files.select("part", "shard", "payload").mapInArrow(_decode, "part int, shard int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    shards = files.select("part", "shard", "payload").mapInArrow(trimmed(_decode), "part int, shard int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return shards.join(starts, ["part", "shard"]).select(
         "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
