@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, numbered, only, prepare, restored
-from .setjoin import candidate_groups, scan_units, verified_counts
+from .setjoin import broadcast_frequencies, candidate_groups, scan_units, verified_counts
 
 THRESHOLD = 0.8
 
@@ -24,7 +24,7 @@ def class_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     lines, tiles, bits = scan_units(rows)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line")
     classes = cut(lines.groupBy("key").agg(F.min(place).alias("first")))
-    groups = candidate_groups(rows, tiles, bits, threshold).withColumnRenamed("key", "k")
+    groups = candidate_groups(rows, broadcast_frequencies(rows, tiles, bits), threshold).withColumnRenamed("key", "k")
     groups = groups.join(classes.hint("shuffle_hash"), F.col("key") == F.col("k")).select(
         "token", "part", "block", "key", "tokens", "first.doc_id", "first.th", "first.line")
     linked = cut(verified_counts(groups, threshold)).withColumnRenamed("key", "k")

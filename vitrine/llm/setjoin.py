@@ -42,7 +42,7 @@ PARTS = 16
 HELD = 1 << 17
 #: Entries of a verification matrix at most; wider ones are multiplied in slices.
 ENTRIES = 1 << 22
-#: Classes of a component of candidates that are verified together when only links are asked for.
+#: Classes of a component of candidates, or of a part of a larger one, that are verified together when only links are asked for.
 TOGETHER = 256
 #: Groups up to this size are compared as sets, pair by pair, with the same results.
 SMALL = 8
@@ -548,13 +548,35 @@ def _by_component(active: DataFrame) -> DataFrame:
     return cut(together.unionByName(active.join(large, "key", "left_semi").select("token", "key", "part", "block")))
 
 
-def candidate_groups(rows: DataFrame, tiles: DataFrame, bits: int, t: float, shingle: int = 0, links_only: bool = False) -> DataFrame:
-    """Rows (text, ...) and their counters -> (token, part, block, key, tokens): the groups to verify.
+def with_sets(groups: DataFrame, rows: DataFrame, frequency, shingle: int = 0) -> DataFrame:
+    """(token, part, block, key) and the rows (text, ...) of its classes -> (token, part, block, key, tokens)."""
+    wanted = rows.sparkSession.sparkContext.broadcast(key_filter(groups.select("key").distinct()))
+    sets = _sets(rows, frequency, wanted, shingle).withColumnRenamed("key", "k")
+    return groups.join(sets, F.col("key") == F.col("k")).select("token", "part", "block", "key", "tokens")
 
-    With links_only, a pair may be in any group, in several or in one; else it is where its first common token is."""
-    spark = rows.sparkSession
+
+def _across(active: DataFrame, known: DataFrame) -> DataFrame:
+    """The groups whose members are not all in one component of `known` (node, component): only those have new links."""
+    side = active.join(known, F.col("key") == F.col("node"), "left").select("token", "part", F.coalesce("component", "key").alias("c"))
+    new = side.groupBy("token", "part").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    return active.join(new, ["token", "part"], "left_semi")
+
+
+def broadcast_frequencies(rows: DataFrame, tiles: DataFrame, bits: int):
+    """The rarity classes, broadcast, and the sum of all counters."""
     table, total = frequencies(tiles, bits)
-    frequency = spark.sparkContext.broadcast(table)
+    return rows.sparkSession.sparkContext.broadcast(table), total
+
+
+def candidate_groups(
+    rows: DataFrame, counted, t: float, shingle: int = 0, links_only: bool = False, known: DataFrame | None = None
+) -> DataFrame:
+    """Rows (text, ...) and what broadcast_frequencies gave -> (token, part, block, key, tokens): the groups to verify.
+
+    With links_only, a pair may be in any group, in several or in one; else it is where its first common token is. Links
+    within the components of `known` (node, component) are not looked for again."""
+    spark = rows.sparkSession
+    frequency, total = counted
     waiting = (total * (1 - t) + 1) * _POSTING.itemsize
     parts = PARTS * max(shuffle_partitions(spark), int(waiting / (PARTS * (16 << 20))))
     active = cut(_active(_postings(rows, frequency, t, shingle, parts), t))
@@ -562,8 +584,8 @@ def candidate_groups(rows: DataFrame, tiles: DataFrame, bits: int, t: float, shi
     place = F.struct(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), "part")  # tokens are unsigned
     first = active.groupBy("members").agg(F.min(place).alias("first"))
     active = cut(active.join(first, "members").where(place == F.col("first")).select("token", "key", "part", "block"))
+    if known is not None:
+        active = cut(_across(active, known))
     if links_only:
         active = _by_component(active)
-    wanted = spark.sparkContext.broadcast(key_filter(active.select("key").distinct()))
-    sets = _sets(rows, frequency, wanted, shingle).withColumnRenamed("key", "k")
-    return active.join(sets, F.col("key") == F.col("k")).select("token", "part", "block", "key", "tokens")
+    return with_sets(active, rows, frequency, shingle)
