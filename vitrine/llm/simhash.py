@@ -3,8 +3,8 @@
 A fingerprint is cut into a ring of four 16-bit segments. If two fingerprints differ in at most tau = 3 bits, then from
 some segment on, every chain of l consecutive segments differs in at most floor(l * tau / 4) bits: 0, then 1, then 2,
 then 3 (the strong form of the pigeonhole principle on a ring). So a pair is a candidate only where one segment agrees
-and the next one differs in at most one bit; the index holds a row for each segment and its successor, probes flip one
-bit of the successor, and the longer chains are checked before the full distance.
+and the next one differs in at most one bit. A row for each segment travels; where segments agree, the index holds each
+value of the successor, probes flip one bit of it, and the longer chains are checked before the full distance.
 
 Equal fingerprints are one node. Within a key, links are reduced to a spanning forest before they leave the task, so a
 large group of near copies gives as many rows as it has members, not all its pairs.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, numbered, only, prepare, restored, shuffle_partitions, trimmed
+from .common import cut, numbered, only, prepare, restored, trimmed
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -31,6 +31,8 @@ _SEGMENTS, _WIDTH = 4, 16
 #: Rows of a key above which candidates are looked up by the third segment instead of compared one by one; the links
 #: span the same components either way.
 _DENSE = 2048
+#: Rows of whole segment values that are grouped at a time.
+_HELD = 1 << 16
 #: Shingle hashes counted at a time.
 _BLOCK = 1 << 16
 
@@ -74,15 +76,10 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(key, probe, fp, node): four index rows for each fingerprint and 64 probes, one for each bit of each successor."""
+    """(key, fp): four rows for each fingerprint, keyed by a segment's number and value."""
     fp = F.col("fp")
-    seg = lambda i: F.shiftrightunsigned(fp, _WIDTH * (i % _SEGMENTS)).bitwiseAND(F.lit((1 << _WIDTH) - 1))
-    rows = []
-    for i in range(_SEGMENTS):
-        base = F.shiftleft(seg(i), _WIDTH).bitwiseOR(seg(i + 1)).bitwiseOR(F.lit(i << (2 * _WIDTH)))
-        rows.append(F.struct(base.alias("key"), F.lit(0).alias("probe")))
-        rows += [F.struct(base.bitwiseXOR(F.lit(1 << b).cast("long")).alias("key"), F.lit(1).alias("probe")) for b in range(_WIDTH)]
-    return nodes.select(F.explode(F.array(*rows)).alias("k"), "fp", "node").select("k.key", "k.probe", "fp", "node")
+    seg = lambda i: F.shiftrightunsigned(fp, _WIDTH * i).bitwiseAND(F.lit((1 << _WIDTH) - 1))
+    return nodes.select(F.explode(F.array(*[seg(i).bitwiseOR(F.lit(i << _WIDTH)) for i in range(_SEGMENTS)])).alias("key"), "fp")
 
 
 class _Forest:
@@ -144,37 +141,60 @@ def links_of_key(key: int, fp: np.ndarray, probe: np.ndarray, max_bits: int = MA
     return out
 
 
-def _links(keys: DataFrame, max_bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, probe, fp, node = cols
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            stop = np.r_[start[1:], len(key)].astype(np.int64)
-            some = (stop - start > 1) & (probe[start] == 0) if len(key) else np.zeros(0, bool)
-            u, v = [], []
-            for a, b in zip(start[some].tolist(), stop[some].tolist()):
-                for x, y in links_of_key(int(key[a]), fp[a:b].view(np.uint64), probe[a:b], max_bits):
-                    u.append(node[a + x])
-                    v.append(node[a + y])
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
+def _ring_groups(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows with the same segment -> (key, row numbers, probe) for each value of it and its successor.
+
+    Index rows have that value; probes differ from it in one bit of the successor. Of two values that probe each other
+    the lesser one has the pairs of both."""
+    following = (key >> _WIDTH) + 1
+    shift = (_WIDTH * (following % _SEGMENTS)).astype(np.uint64)
+    pair = key << _WIDTH | ((fp.view(np.uint64) >> shift) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
+    order = np.argsort(pair, kind="stable")
+    value, start, size = np.unique(pair[order], return_index=True, return_counts=True)
+    near: dict[int, list[int]] = {k: [] for k in np.flatnonzero(size > 1).tolist()}
+    for bit in range(_WIDTH):
+        mine = np.flatnonzero(value & (1 << bit) == 0)
+        want = value[mine] | (1 << bit)
+        at = np.minimum(np.searchsorted(value, want), len(value) - 1)
+        hit = value[at] == want
+        for a, b in zip(mine[hit].tolist(), at[hit].tolist()):
+            near.setdefault(a, []).append(b)
+    rows = lambda k: order[start[k] : start[k] + size[k]]
+    for k, others in near.items():
+        found = np.concatenate([rows(k), *map(rows, others)])
+        yield int(value[k]), found, np.r_[np.zeros(size[k], np.int64), np.ones(len(found) - size[k], np.int64)]
+
+
+def _linked_rows(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """(key, fp) in order of key -> (u, v): fingerprints that link."""
+    rest: list[np.ndarray] = []
+    held, limit = 0, _HELD
+
+    def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        u, v = [], []
+        for pair, rows, probe in _ring_groups(key, fp):
+            for x, y in links_of_key(pair, fp[rows].view(np.uint64), probe, max_bits):
+                u.append(fp[rows[x]])
+                v.append(fp[rows[y]])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for b in batches:
+        rest.append(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)]))
+        held += len(b)
+        if held >= limit:
+            cols = np.concatenate(rest, 1)
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last key may go on in the next batch
-            rest = [x[last:].copy() for x in cols]
             if last:
-                yield edges([x[:last] for x in cols])
-        if rest is not None:
-            yield edges(rest)
+                yield edges(*cols[:, :last])
+            rest, held = [cols[:, last:].copy()], cols.shape[1] - last
+            limit = max(_HELD, 2 * held)
+    if held:
+        yield edges(*np.concatenate(rest, 1))
+
 
-    spread = keys.repartition("key").sortWithinPartitions("key", "probe")
-    return spread.mapInArrow(trimmed(run), "u long, v long")
+def _links(keys: DataFrame, max_bits: int) -> DataFrame:
+    spread = keys.repartition("key").sortWithinPartitions("key")
+    return spread.mapInArrow(trimmed(lambda batches: _linked_rows(batches, max_bits)), "u long, v long")
 
 
 def near_duplicate_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -182,8 +202,7 @@ def near_duplicate_components(prints: DataFrame, max_bits: int = MAX_BITS) -> Da
     if not 0 <= max_bits <= 3:
         raise ValueError("the four-segment ring holds for at most 3 differing bits")
     nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
-    spread = nodes.repartition(shuffle_partitions(prints.sparkSession), "fp")  # 68 index rows come from each fingerprint
-    comp = connected_components(_links(_keys(spread.select("fp", F.col("fp").alias("node"))), max_bits))
+    comp = connected_components(_links(_keys(nodes), max_bits))
     linked = cut(nodes.join(comp, nodes["fp"] == comp["node"]).select("fp", "least", "component"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     found = linked.join(least, "component").select("fp", "component_id")
