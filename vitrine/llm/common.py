@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more: it does so only when the
+    driver collects its garbage, which a driver with memory to spare rarely does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -224,6 +232,22 @@ def word_spans(t: Texts, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
+def between(a: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """How many borders each of the places `a` has reached; both ascend."""
+    return np.repeat(np.arange(len(borders) + 1), np.diff(np.r_[0, np.searchsorted(a, borders), len(a)]))
+
+
+def hash_order(h: np.ndarray) -> np.ndarray:
+    """An order that sorts 64-bit hashes. Their high bits are sorted with the places in the low ones, which is faster than
+    argsort; hashes that need their low bits to be told apart are rare."""
+    low = np.uint64(len(h).bit_length())
+    x = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
+    x.sort()
+    order = (x & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    found = h[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(h, kind="stable")
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Spans longer than this are hashed one by one.
 _LONG = 4096
@@ -272,7 +296,7 @@ def words(
     Words are runs of non-space bytes, or of letters, digits and non-ASCII bytes with alnum=True. With `prefixes` the
     first result is (words, 1 + prefixes): next to each word's hash those of its first bytes, 0 where it has no more."""
     a, b = word_spans(t, _WORD if alnum else ~SPACE)
-    doc = np.searchsorted(t.start, a, "right") - 1
+    doc = between(a, t.start[1:-1])
     if not len(a):
         return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), a, b, doc
     spans = Spans(by_byte(t.data, LOWER) if lower else t.data)

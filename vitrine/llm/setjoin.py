@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, cut, mix, scratch_path, shuffle_partitions, text_chunks, trimmed, words
+from .common import Texts, between, cut, hash_order, mix, release, scratch_path, shuffle_partitions, text_chunks, trimmed, words
 from .components import connected_components
 
 #: Bits that number the counters at least and at most; a counter has four bytes in a task and one when broadcast.
@@ -63,14 +63,14 @@ class Units:
             unit = unit.astype(np.int64) << 32
         else:
             breaks = np.flatnonzero(t.data == 10)
-            number = np.searchsorted(breaks, a)  # line breaks before the word, over the chunk
+            number = between(a, breaks)  # line breaks before the word, over the chunk
             number = number - np.searchsorted(breaks, t.start[:-1])[doc]
             unit = doc.astype(np.int64) << 32 | number
         h = h >> np.uint64(64 - _HASH_BITS)
         if frequency is not None:  # a token is now its rarity class, then its hash: one number, the same everywhere
             h |= frequency[(h & np.uint64(len(frequency) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH_BITS)
         dense = np.cumsum(np.r_[False, unit[1:] != unit[:-1]]) if len(unit) else unit
-        order = np.argsort(h)
+        order = hash_order(h)
         order = order[np.argsort(dense[order].astype(np.uint16 if len(dense) and dense[-1] < 1 << 16 else np.uint32), kind="stable")]
         h, unit = h[order], unit[order]
         first = np.r_[True, (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])] if len(h) else np.zeros(0, bool)
@@ -580,6 +580,7 @@ def candidate_groups(
     waiting = (total * (1 - t) + 1) * _POSTING.itemsize
     parts = PARTS * max(shuffle_partitions(spark), int(waiting / (PARTS * (16 << 20))))
     active = cut(_active(_postings(rows, frequency, t, shingle, parts), t))
+    release(spark)  # the postings
     # Groups with the same members have the same pairs, and those count at the first token: the others are not needed.
     place = F.struct(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), "part")  # tokens are unsigned
     first = active.groupBy("members").agg(F.min(place).alias("first"))
